@@ -16,6 +16,11 @@ _STEP = r'\[\s*("[^\]]*"|\+?\d+)\s*\]|([^.\[]+)'
 _WHOLE = r'^\$?(?:\.(?=[^.\[])|\[\s*(?:"[^\]]*"|\+?\d+)\s*\]|[^.\[]+)*$'
 
 
+def _json_text(json: Column, path: Column) -> Column:
+    """``get_json_object`` with a path per row."""
+    return F.call_function("get_json_object", json, path)
+
+
 def path_is_valid(path: Column) -> Column:
     return strip(path).rlike(_WHOLE)
 
@@ -71,7 +76,7 @@ def json_path(body: Column, path: Column) -> Column:
         .when(F.is_variant_null(node), "null")
         .when(_is_container(node), F.to_json(node))
         .otherwise(
-            F.coalesce(F.get_json_object(body, _text_path(steps)), node.cast("string"))
+            F.coalesce(_json_text(body, _text_path(steps)), node.cast("string"))
         )
     )
     error = F.when(document.isNull(), "not_json").when(~path_is_valid(path), "bad_path")
@@ -168,7 +173,7 @@ def _children(n: Column) -> Column:
             "try_variant_get", n["node"], F.concat(F.lit('$["'), key, F.lit('"]')), F.lit("variant")
         )
         text = F.coalesce(
-            F.get_json_object(n["json"], F.concat(F.lit("$['"), key, F.lit("']"))), F.to_json(node)
+            _json_text(n["json"], F.concat(F.lit("$['"), key, F.lit("']"))), F.to_json(node)
         )
         path = F.when(n["path"] == "", F.regexp_replace(_key_step(key), r"^\.", "")).otherwise(
             F.concat(n["path"], _key_step(key))
@@ -187,7 +192,7 @@ def _children(n: Column) -> Column:
             F.concat(n["path"], F.lit("["), i.cast("string"), F.lit("]")).alias("path"),
             v.alias("node"),
             F.coalesce(
-                F.get_json_object(n["json"], F.concat(F.lit("$["), i.cast("string"), F.lit("]"))), F.to_json(v)
+                _json_text(n["json"], F.concat(F.lit("$["), i.cast("string"), F.lit("]"))), F.to_json(v)
             ).alias("json"),
         )
 

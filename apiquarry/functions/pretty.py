@@ -6,6 +6,7 @@ import json
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _refuse(word: str):
@@ -22,7 +23,7 @@ def _layout(text: str | None) -> str | None:
     return json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def pretty_json(texts: pd.Series) -> pd.Series:
     """Two-space indented JSON with sorted keys; NULL when the text is not JSON."""
     return texts.map(_layout)
