@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from apiquarry.functions.http import header_value
-from apiquarry.functions.text import json_escaped, strip
+from apiquarry.functions.text import json_escaped, let, strip
 
 # Limits of a response shape.
 PATH_LIMIT = 400
@@ -56,8 +56,7 @@ def _text_path(steps: Column) -> Column:
 
 
 def _is_container(variant: Column) -> Column:
-    kind = F.schema_of_variant(variant)
-    return kind.startswith("OBJECT") | kind.startswith("ARRAY")
+    return F.schema_of_variant(variant).rlike("^(OBJECT|ARRAY)")
 
 
 def json_path(body: Column, path: Column) -> Column:
@@ -67,20 +66,30 @@ def json_path(body: Column, path: Column) -> Column:
     ``null``), a container as compact JSON with sorted keys. ``error`` is ``not_json`` or
     ``bad_path``. Inside a container ``1.0`` is written ``1``.
     """
-    document = F.try_parse_json(body)
-    steps = F.when(path_is_valid(path), _steps(path))
-    # try_variant_get takes a path column, so each row may carry its own.
-    node = F.call_function("try_variant_get", document, _variant_path(steps), F.lit("variant"))
-    text = (
-        F.when(node.isNull(), F.lit(None))
-        .when(F.is_variant_null(node), "null")
-        .when(_is_container(node), F.to_json(node))
-        .otherwise(
-            F.coalesce(_json_text(body, _text_path(steps)), node.cast("string"))
+    out = "struct<value:string,error:string>"
+
+    def said(value: Column | None, error: str | None = None) -> Column:
+        none = F.lit(None)
+        return F.struct(
+            (value if value is not None else none).cast("string").alias("value"), F.lit(error).cast("string").alias("error")
+        ).cast(out)
+
+    def follow(b: Column) -> Column:
+        def render(node: Column) -> Column:
+            plain = F.coalesce(_json_text(body, _text_path(b["steps"])), node.cast("string"))
+            text = F.when(F.is_variant_null(node), "null").when(_is_container(node), F.to_json(node)).otherwise(plain)
+            return said(F.when(node.isNotNull(), text))
+
+        # try_variant_get takes a path column, so each row may carry its own.
+        node = F.call_function("try_variant_get", b["document"], _variant_path(b["steps"]), F.lit("variant"))
+        return (
+            F.when(b["document"].isNull(), said(None, "not_json"))
+            .when(b["steps"].isNull(), said(None, "bad_path"))
+            .otherwise(let(node, render))
         )
-    )
-    error = F.when(document.isNull(), "not_json").when(~path_is_valid(path), "bad_path")
-    return F.struct(F.when(error.isNull(), text).alias("value"), error.cast("string").alias("error"))
+
+    steps = F.when(path_is_valid(path), _steps(path))
+    return let(F.struct(F.try_parse_json(body).alias("document"), steps.alias("steps")), follow)
 
 
 def extract_value(
@@ -115,36 +124,50 @@ _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 def number_of(c: Column) -> Column:
     """A whole text that reads as a number; suffixes such as ``200d`` do not count."""
-    t = strip(c)
-    word = F.lower(F.regexp_replace(t, r"^[+-]", ""))
-    sign = F.when(t.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
-    return (
-        F.when(t.rlike(_NUMBER), t.try_cast("double"))
-        .when(word.isin("inf", "infinity"), sign * F.lit(float("inf")))
-        .when(word == "nan", F.lit(float("nan")))
-    )
+
+    def read(t: Column) -> Column:
+        word = F.lower(t)
+        return (
+            F.when(t.rlike(_NUMBER), t.try_cast("double"))
+            .when(word.rlike(r"^[+]?inf(inity)?$"), F.lit(float("inf")))
+            .when(word.rlike(r"^-inf(inity)?$"), F.lit(float("-inf")))
+            .when(word.rlike(r"^[+-]?nan$"), F.lit(float("nan")))
+        )
+
+    return let(strip(c), read)
 
 
 def holds(op: Column, actual: Column, expected: Column) -> Column:
     """Whether ``actual op expected``; nothing there satisfies only the negative forms."""
-    a, b = number_of(actual), number_of(expected)
-    numeric = a.isNotNull() & b.isNotNull()
-    # A comparison with NaN is false here, unlike in Spark.
-    comparable = ~F.isnan(a) & ~F.isnan(b)
-    equal = F.when(numeric, comparable & (a == b)).otherwise(actual == expected)
-    greater = F.when(numeric, comparable & (a > b)).otherwise(actual > expected)
-    less = F.when(numeric, comparable & (a < b)).otherwise(actual < expected)
-    present = (
-        F.when(op == "exists", True)
-        .when(op == "not_exists", False)
-        .when(op == "equals", equal)
-        .when(op == "not_equals", ~equal)
-        .when(op == "contains", F.contains(actual, expected))
-        .when(op == "not_contains", ~F.contains(actual, expected))
-        .when(op == "greater_than", greater)
-        .when(op == "less_than", less)
+
+    def compare(v: Column) -> Column:
+        a, b = v["a"], v["b"]
+        numeric = a.isNotNull() & b.isNotNull()
+        # -1, 0, 1, or 2 where NaN makes every comparison false, unlike in Spark.
+        order = (
+            F.when(numeric & (F.isnan(a) | F.isnan(b)), 2)
+            .when(numeric, F.when(a < b, -1).when(a > b, 1).otherwise(0))
+            .otherwise(F.when(v["x"] < v["y"], -1).when(v["x"] > v["y"], 1).otherwise(0))
+        )
+        return let(order, lambda o: decide(v, o))
+
+    def decide(v: Column, order: Column) -> Column:
+        return (
+            F.when(v["x"].isNull(), op.isin("not_exists", "not_equals", "not_contains"))
+            .when(op == "exists", True)
+            .when(op == "not_exists", False)
+            .when(op == "equals", order == 0)
+            .when(op == "not_equals", order != 0)
+            .when(op == "contains", F.contains(v["x"], v["y"]))
+            .when(op == "not_contains", ~F.contains(v["x"], v["y"]))
+            .when(op == "greater_than", order == 1)
+            .when(op == "less_than", order == -1)
+        )
+
+    values = F.struct(
+        actual.alias("x"), expected.alias("y"), number_of(actual).alias("a"), number_of(expected).alias("b")
     )
-    return F.when(actual.isNull(), op.isin("not_exists", "not_equals", "not_contains")).otherwise(present)
+    return let(values, compare)
 
 
 _NODE = "struct<ord:array<int>,path:string,node:variant,json:string>"

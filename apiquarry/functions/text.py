@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ REFERENCE = r"\{\{([\s\S]*?)\}\}"
 SENSITIVE_HEADERS = ["authorization", "cookie", "set-cookie", "proxy-authorization"]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value once inside an expression, so that its text is not repeated in the plan."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trim any white space, not only blanks."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")

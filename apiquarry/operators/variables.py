@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from apiquarry.functions.text import REFERENCE, references, strip
+from apiquarry.functions.text import REFERENCE, let, references, strip
 
 P, ENV = "project_id", "environment"
 
@@ -54,27 +54,25 @@ def scope_maps(variables: DataFrame) -> DataFrame:
 
 def canonical_name(name: Column) -> Column:
     """``secret: x`` and ``secret:x`` are one name."""
-    return F.when(
-        name.startswith("secret:"), F.concat(F.lit("secret:"), strip(F.substring(name, F.lit(8), F.length(name))))
-    ).otherwise(name)
+    return F.regexp_replace(name, r"^secret:\s+", "secret:")
 
 
 def _names(text: Column) -> Column:
     """Every reference of a text in order, repeats and empties included."""
-    raw = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1))
-    return F.transform(raw, lambda n: canonical_name(strip(n)))
+    raw = F.regexp_extract_all(text, F.lit(r"\{\{\s*([\s\S]*?)\s*\}\}"), F.lit(1))
+    return F.transform(raw, canonical_name)
 
 
-def find(name: Column, scope: Column, local: Column | None = None) -> Column:
-    """``struct<value, secret>`` of a name, run-local values first; NULL when undefined."""
-    base = F.try_element_at(scope, name)
-    if local is None:
-        return base
-    own = F.try_element_at(local, name)
-    return F.when(
-        own.isNotNull() & ~name.startswith("secret:"),
-        F.struct(own.alias("value"), F.lit(None).cast("string").alias("secret")),
-    ).otherwise(base)
+def find(name: Column, scope: Column) -> Column:
+    """``struct<value, secret>`` of a name; NULL when undefined."""
+    return F.try_element_at(scope, name)
+
+
+def with_local(scope: Column, local: Column) -> Column:
+    """A scope with run-local values in front. ``secret:`` names never mean a local value."""
+    named = F.map_filter(local, lambda k, _v: ~k.startswith("secret:"))
+    cells = F.transform_values(named, lambda _k, v: F.struct(v.alias("value"), F.lit(None).cast("string").alias("secret")))
+    return F.map_concat(F.map_filter(scope, lambda k, _v: ~F.map_contains_key(local, k) | k.startswith("secret:")), cells)
 
 
 def _weave(text: Column, values: Column) -> Column:
@@ -82,25 +80,26 @@ def _weave(text: Column, values: Column) -> Column:
     return F.array_join(F.zip_with(literals, values, lambda l, v: F.concat(l, F.coalesce(v, F.lit("")))), "")
 
 
-def _expand(text: Column, scope: Column, local: Column | None) -> Column:
+def _expand(text: Column, scope: Column) -> Column:
     """``struct<text, secrets>`` after at most ten levels; what cannot be expanded stays."""
 
     def once(acc: Column) -> Column:
         t = acc["text"]
         raw = F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0))
-        names = _names(t)
-        values = F.zip_with(raw, names, lambda r, n: F.coalesce(find(n, scope, local)["value"], r))
-        used = F.filter(F.transform(names, lambda n: find(n, scope, local)["secret"]), lambda s: s.isNotNull())
-        return F.when(
-            t.rlike(REFERENCE),
-            F.struct(_weave(t, values).alias("text"), F.concat(acc["secrets"], used).alias("secrets")),
-        ).otherwise(acc)
+        hits = F.transform(_names(t), lambda n: find(n, scope))
+
+        def put_in(found: Column) -> Column:
+            values = F.zip_with(raw, found, lambda r, h: F.coalesce(h["value"], r))
+            used = F.filter(F.transform(found, lambda h: h["secret"]), lambda s: s.isNotNull())
+            return F.struct(_weave(t, values).alias("text"), F.concat(acc["secrets"], used).alias("secrets"))
+
+        return F.when(t.rlike(REFERENCE), let(hits, put_in)).otherwise(acc)
 
     start = F.struct(text.alias("text"), F.array().cast("array<string>").alias("secrets"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_DEPTH)), start, lambda acc, _i: once(acc))
 
 
-def _first_error(text: Column, scope: Column, local: Column | None) -> Column:
+def _first_error(text: Column, scope: Column) -> Column:
     """``struct<error, error_name>``: go down the first reference that does not expand."""
     state = "struct<cur:string,stack:array<string>,error:string,name:string>"
 
@@ -108,26 +107,31 @@ def _first_error(text: Column, scope: Column, local: Column | None) -> Column:
         whole = F.concat(F.lit("{{"), n, F.lit("}}"))
         return (
             (n == "")
-            | find(n, scope, local).isNull()
+            | find(n, scope).isNull()
             | F.array_contains(stack, n)
-            | _expand(whole, scope, local)["text"].rlike(REFERENCE)
+            | _expand(whole, scope)["text"].rlike(REFERENCE)
         )
 
     def step(acc: Column) -> Column:
+        def blame(culprit: Column) -> Column:
+            def with_hit(hit: Column) -> Column:
+                error = (
+                    F.when(culprit.isNull(), "depth_exceeded")
+                    .when(culprit == "", "empty_name")
+                    .when(hit.isNull(), "undefined")
+                    .when(F.array_contains(acc["stack"], culprit), "cycle")
+                )
+                return F.struct(
+                    hit["value"].alias("cur"),
+                    F.concat(acc["stack"], F.array(culprit)).alias("stack"),
+                    error.cast("string").alias("error"),
+                    F.when((culprit != "") & (hit.isNull() | F.array_contains(acc["stack"], culprit)), culprit).alias("name"),
+                ).cast(state)
+
+            return let(find(culprit, scope), with_hit)
+
         culprit = F.get(F.filter(_names(acc["cur"]), lambda n: bad(n, acc["stack"])), F.lit(0))
-        error = (
-            F.when(culprit.isNull(), "depth_exceeded")
-            .when(culprit == "", "empty_name")
-            .when(find(culprit, scope, local).isNull(), "undefined")
-            .when(F.array_contains(acc["stack"], culprit), "cycle")
-        )
-        after = F.struct(
-            find(culprit, scope, local)["value"].alias("cur"),
-            F.concat(acc["stack"], F.array(culprit)).alias("stack"),
-            error.cast("string").alias("error"),
-            F.when(error.isin("undefined", "cycle"), culprit).alias("name"),
-        ).cast(state)
-        return F.when(acc["error"].isNotNull(), acc).otherwise(after)
+        return F.when(acc["error"].isNotNull(), acc).otherwise(let(culprit, blame))
 
     start = F.struct(
         text.alias("cur"),
@@ -136,20 +140,34 @@ def _first_error(text: Column, scope: Column, local: Column | None) -> Column:
         F.lit(None).cast("string").alias("name"),
     ).cast(state)
     end = F.aggregate(F.sequence(F.lit(0), F.lit(MAX_DEPTH)), start, lambda acc, _i: step(acc))
-    return F.struct(F.coalesce(end["error"], F.lit("depth_exceeded")).alias("error"), end["name"].alias("error_name"))
+    return let(
+        end, lambda e: F.struct(F.coalesce(e["error"], F.lit("depth_exceeded")).alias("error"), e["name"].alias("error_name"))
+    )
 
 
-def expand(text: Column, scope: Column, local: Column | None = None) -> Column:
+def expand(text: Column, scope: Column) -> Column:
     """Resolve a template against raw scopes: value and secrets used, or the first error."""
-    done = _expand(text, scope, local)
-    ok = ~done["text"].rlike(REFERENCE)
-    why = F.when(~ok, _first_error(text, scope, local))
-    return F.struct(
-        F.when(ok, done["text"]).alias("value"),
-        F.array_sort(F.array_distinct(done["secrets"])).alias("secrets"),
-        why["error"].alias("error"),
-        why["error_name"].alias("error_name"),
-    ).cast(RESOLVED)
+
+    def judged(done: Column) -> Column:
+        ok = ~done["text"].rlike(REFERENCE)
+        clean = F.struct(
+            done["text"].alias("value"),
+            F.array_sort(F.array_distinct(done["secrets"])).alias("secrets"),
+            F.lit(None).cast("string").alias("error"),
+            F.lit(None).cast("string").alias("error_name"),
+        ).cast(RESOLVED)
+        failed = let(
+            _first_error(text, scope),
+            lambda w: F.struct(
+                F.lit(None).cast("string").alias("value"),
+                F.array().cast("array<string>").alias("secrets"),
+                w["error"].alias("error"),
+                w["error_name"].alias("error_name"),
+            ).cast(RESOLVED),
+        )
+        return F.when(ok, clean).otherwise(failed)
+
+    return let(_expand(text, scope), judged)
 
 
 def resolved_maps(variables: DataFrame) -> DataFrame:
@@ -177,16 +195,18 @@ def substitute(text: Column, resolved: Column) -> Column:
         ).cast(RESOLVED)
         return F.coalesce(found, missing)
 
-    hits = F.transform(names, hit)
-    failed = F.get(F.filter(hits, lambda h: h["error"].isNotNull()), F.lit(0))
-    value = _weave(text, F.transform(hits, lambda h: h["value"]))
-    used = F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda h: h["secrets"]))))
-    return F.struct(
-        F.when(failed.isNull(), value).alias("value"),
-        used.alias("secrets"),
-        failed["error"].alias("error"),
-        failed["error_name"].alias("error_name"),
-    ).cast(RESOLVED)
+    def put_in(hits: Column) -> Column:
+        failed = F.get(F.filter(hits, lambda h: h["error"].isNotNull()), F.lit(0))
+        value = _weave(text, F.transform(hits, lambda h: h["value"]))
+        used = F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda h: h["secrets"]))))
+        return F.struct(
+            F.when(failed.isNull(), value).alias("value"),
+            used.alias("secrets"),
+            failed["error"].alias("error"),
+            failed["error_name"].alias("error_name"),
+        ).cast(RESOLVED)
+
+    return let(F.transform(names, hit), put_in)
 
 
 def resolve_templates(texts: DataFrame, variables: DataFrame, column: str, out: str = "resolved_text") -> DataFrame:
