@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apiquarry.functions.text import references, strip
-from apiquarry.operators.closure import components, least_ancestor, reachable
+from apiquarry.operators.closure import components, reachable
 from apiquarry.operators.groups import rank_per_key
 from apiquarry.operators.variables import canonical_name
 from apiquarry.session import cut_lineage
@@ -124,41 +124,52 @@ def first_problem(problems: DataFrame) -> DataFrame:
     return problems.groupBy(*KEYS).agg(F.min_by(F.struct("rule", "node", "handle"), "place").alias("p")).select(*KEYS, "p.*")
 
 
+def order_keys(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(keys, node, key): sorting a flow by ``key`` is its topological order.
+
+    Always taking the ready node of least index is the same as sorting by an array: the
+    greatest key among a node's predecessors, cut back to the entries above the node's own
+    index, then that index. A flow whose edges all run down the document needs no more than
+    the indexes; the others are worked out layer by layer, all of them at once.
+    """
+    indexed = cut_lineage(nodes.select(*KEYS, F.col("node_id").alias("node"), F.col("doc_index").cast("bigint").alias("idx")))
+    pairs = flow_edges_of(edges)
+    for end in ("src", "dst"):
+        pairs = pairs.join(indexed.select(*KEYS, F.col("node").alias(end), F.col("idx").alias(f"{end}_idx")), [*KEYS, end])
+    pairs = cut_lineage(pairs)
+    upward = cut_lineage(pairs.filter("src_idx > dst_idx").select(*KEYS).distinct())
+    plain = indexed.join(upward, KEYS, "left_anti").select(*KEYS, "node", F.array("idx").alias("key"))
+    left = cut_lineage(indexed.join(upward, KEYS, "left_semi"))
+    open_edges = pairs.join(upward, KEYS, "left_semi").select(*KEYS, "src", "dst")
+    edges_left = cut_lineage(open_edges)
+    settled = [plain]
+    best = left.select(*KEYS, "node", F.lit(None).cast("array<bigint>").alias("best")).limit(0)
+    while not left.isEmpty():
+        fed = edges_left.select(*KEYS, F.col("dst").alias("node")).distinct().withColumn("_fed", F.lit(True))
+        flagged = cut_lineage(left.join(fed, [*KEYS, "node"], "left").join(best, [*KEYS, "node"], "left"))
+        above = F.filter(F.coalesce("best", F.array().cast("array<bigint>")), lambda k: k > F.col("idx"))
+        ready = cut_lineage(flagged.filter("_fed is null").select(*KEYS, "node", F.concat(above, F.array("idx")).alias("key")))
+        if ready.isEmpty():
+            break
+        settled.append(ready)
+        offers = edges_left.join(ready.withColumnRenamed("node", "src"), [*KEYS, "src"]).select(*KEYS, F.col("dst").alias("node"), F.col("key").alias("best"))
+        kept = flagged.filter("_fed").select(*KEYS, "node", "best").filter("best is not null")
+        best = cut_lineage(kept.unionByName(offers).groupBy(*KEYS, "node").agg(F.max("best").alias("best")))
+        left = flagged.filter("_fed").select(*KEYS, "node", "idx")
+        edges_left = cut_lineage(edges_left.join(ready.select(*KEYS, F.col("node").alias("src")), [*KEYS, "src"], "left_anti"))
+    return reduce(DataFrame.unionByName, settled)
+
+
 def execution_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``pos`` of each node: topological, ties by document index, input blocks first.
 
-    Always taking the ready node of least index is the same as sorting by a key: the greatest
-    index among a node and its ancestors, then the same again among what shares that key, and
-    so on. A node that is its own greatest ends its key. Edges that run down the document give
-    one-step keys, so most flows settle in the first round.
-
-    Flows must be acyclic (see :func:`validate_flow`).
+    Flows must be acyclic (see :func:`validate_flow`); nodes in or behind a cycle have no place.
     """
-    pairs = flow_edges_of(edges)
-    todo = cut_lineage(
-        nodes.select(*KEYS, F.col("node_id").alias("node"), F.col("doc_index").cast("bigint").alias("idx"))
-        .withColumn("key", F.array().cast("array<bigint>"))
-    )
-    settled: list[DataFrame] = []
-    while not todo.isEmpty():
-        inside = pairs
-        for end in ("src", "dst"):
-            inside = inside.join(
-                todo.select(*KEYS, F.col("node").alias(end), F.col("key").alias(f"{end}_key")), [*KEYS, end]
-            )
-        inside = cut_lineage(inside.filter("src_key = dst_key").select(*KEYS, "src", "dst"))
-        # Greatest index = least negative index.
-        tops = least_ancestor(inside, todo.withColumn("label", -F.col("idx")), KEYS, "label")
-        keyed = cut_lineage(
-            todo.join(tops, [*KEYS, "node"]).withColumn("key", F.concat("key", F.array(-F.col("label"))))
-        )
-        settled.append(keyed.filter("-label = idx").select(*KEYS, "node", "key"))
-        todo = keyed.filter("-label <> idx").select(*KEYS, "node", "idx", "key")
-    keys = reduce(DataFrame.unionByName, settled).withColumnRenamed("node", "node_id")
+    keys = order_keys(nodes, edges).withColumnRenamed("node", "node_id")
     inputs = is_input_block(nodes, edges).withColumn("_late", F.lit(0))
     placed = keys.join(inputs, [*KEYS, "node_id"], "left").withColumn("_late", F.coalesce("_late", F.lit(1)))
     ranked = rank_per_key(placed, KEYS, ["_late", "key"], "pos")
-    return ranked.select(*KEYS, "node_id", (F.col("pos") - 1).alias("pos"))
+    return cut_lineage(ranked.select(*KEYS, "node_id", (F.col("pos") - 1).alias("pos")))
 
 
 def ancestors(edges: DataFrame, selected: DataFrame) -> DataFrame:

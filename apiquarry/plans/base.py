@@ -61,7 +61,7 @@ def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-EX = """ex AS (SELECT 'p' || (user_id % 7) AS project_id, event_id AS id, ts AS at,
+EX = """ex AS (SELECT 'p' || (user_id % 7) AS project_id, event_id AS id, ts AS "at",
  CASE event_type WHEN 'view' THEN 'GET' WHEN 'click' THEN 'POST' WHEN 'signup' THEN 'PUT' WHEN 'purchase' THEN 'PATCH' ELSE 'DELETE' END AS method,
  'http://api.example.com/api/v1/users/' || user_id || '/' || event_type || '?k=' || json_extract_string(props, '$.k') AS url,
  CASE event_type WHEN 'view' THEN 200 WHEN 'click' THEN 201 WHEN 'signup' THEN 302 WHEN 'purchase' THEN 404 END AS status,

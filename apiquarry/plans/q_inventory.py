@@ -385,7 +385,8 @@ def handler_fill(spark, sf):
     endpoints = endpoints.withColumn("handler_module", F.when(is_customer, F.lit("svc/main.go"))).withColumn(
         "handler_name", F.when(is_customer, F.concat(F.lit("h.Show"), key.cast("string")))
     )
-    cust = table(spark, sf, "customer").crossJoin(F.broadcast(table(spark, sf, "region").selectExpr("concat('e', r_regionkey % 2) AS project_id").distinct()))
+    # Both projects hold every handler.
+    cust = table(spark, sf, "customer").withColumn(P, F.explode(F.array(F.lit("e0"), F.lit("e1"))))
     handlers = cust.filter("c_custkey % 3 < 2").select(
         P, c("c_custkey").alias("seq"), F.expr("CASE WHEN c_custkey % 3 = 0 THEN 'svc/h.go' ELSE 'lib/other.go' END").alias("module"),
         F.expr("concat(CASE WHEN c_custkey % 3 = 0 THEN 'h.Show' ELSE 'Show' END, c_custkey)").alias("name"),
@@ -495,7 +496,9 @@ def resolved_only(spark, sf):
     from apiquarry.plans.q_paths import gapped
 
     eps = gapped(spark, sf)
-    return inventory.resolved_only(eps).agg(F.count("*").alias("resolved")).crossJoin(inventory.with_gaps(eps).agg(F.count("*").alias("with_gaps")))
+    usable = inventory.resolved_only(eps).select(F.lit(1).alias("resolved"), F.lit(0).alias("with_gaps"))
+    flawed = inventory.with_gaps(eps).select(F.lit(0).alias("resolved"), F.lit(1).alias("with_gaps"))
+    return usable.unionByName(flawed).agg(F.sum("resolved").alias("resolved"), F.sum("with_gaps").alias("with_gaps"))
 
 
 @query("gap_counts", "SELECT s_nationkey, count(*) FILTER (WHERE s_suppkey % 3 = 0) AS gaps, count(*) FILTER (WHERE s_suppkey % 4 = 0 AND s_suppkey % 3 <> 0) AS orphans FROM supplier GROUP BY 1")
@@ -617,7 +620,7 @@ def merge_report(spark, sf):
     return merge.merge_report(merged(spark, sf))
 
 
-DRIFT = """ev AS (SELECT DISTINCT 'p' || (user_id % 7) AS project_id, CASE event_type WHEN 'view' THEN 'GET' ELSE 'POST' END || ' /u/' || user_id || '/' || event_type AS display, event_id % 3 AS slice FROM events)"""
+DRIFT = """ev AS (SELECT DISTINCT 'p' || (user_id % 7) AS project_id, CASE event_type WHEN 'view' THEN 'GET' ELSE 'POST' END || ' /u/' || user_id || '/' || event_type || '/' || json_extract_string(props, '$.k') AS display, event_id % 3 AS slice FROM events)"""
 
 
 @query(
@@ -627,7 +630,7 @@ DRIFT = """ev AS (SELECT DISTINCT 'p' || (user_id % 7) AS project_id, CASE event
 )
 def inventory_drift(spark, sf):
     rows = table(spark, sf, "events").selectExpr(
-        "concat('p', user_id % 7) AS project_id", "concat(CASE event_type WHEN 'view' THEN 'GET' ELSE 'POST' END, ' /u/', user_id, '/', event_type) AS display", "event_id % 3 AS slice"
+        "concat('p', user_id % 7) AS project_id", "concat(CASE event_type WHEN 'view' THEN 'GET' ELSE 'POST' END, ' /u/', user_id, '/', event_type, '/', get_json_object(props, '$.k')) AS display", "event_id % 3 AS slice"
     )
     a, b = (rows.filter(f"slice <> {n}").select(P, "display").distinct() for n in (0, 1))
     return inventory.drift(a, b, [P, "display"])
