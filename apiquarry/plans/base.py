@@ -11,7 +11,6 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from apiquarry.session import ensure_checkpoint_dir
 
@@ -68,7 +67,3 @@ EX = """ex AS (SELECT 'p' || (user_id % 7) AS project_id, event_id AS id, ts AS
  CAST(floor(value * 10) AS BIGINT) AS total_ms, props AS body, event_type, user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
  FROM events)"""
 
-
-def joined(column: str, sep: str = ","):
-    """An array column as text, so results compare by value."""
-    return F.array_join(F.col(column), sep)

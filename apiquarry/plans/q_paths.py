@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from apiquarry.functions import http, jsonvalues, paths, text
-from apiquarry.plans.base import EX, exchanges, joined, query, table
+from apiquarry.plans.base import EX, exchanges, query, table
 from apiquarry.sources.files import file_routes
 from apiquarry.operators.inventory import UNSPECIFIED_METHODS
 
@@ -420,5 +420,3 @@ def json_paths(spark, sf):
     df = table(spark, sf, "orders").selectExpr("o_orderkey", f"{BODY} AS body")
     return df.select("o_orderkey", F.explode(jsonvalues.json_paths(c("body"))).alias("e")).select("o_orderkey", "e.path", "e.preview", "e.scalar")
 
-
-__all__ = ["joined"]
