@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from apiquarry.plans import catalog
 from apiquarry.session import build_session
 
 HEADLINE = [
-    "resolve_routes", "merge_inventories", "inventory_drift", "expand_models", "newest_match", "check_allowed", "redact_history", "mask_named",
-    "resolve_templates", "json_path", "json_paths", "holds", "history_prune_deep", "rank_per_key", "export_har", "read_openapi", "read_raw_http",
-    "detect_frameworks", "execution_order", "flow_components", "evaluate_runs", "values_in_scope", "save_inventory", "coalesce_changes", "suppress_echo",
+    "newest_match", "check_allowed", "redact_history", "mask_named", "resolve_templates", "json_path", "holds", "history_prune_deep",
+    "rank_per_key", "export_har", "read_openapi", "read_raw_http", "detect_frameworks", "values_in_scope", "save_inventory",
+    "coalesce_changes", "suppress_echo", "inventory_drift", "resolve_routes", "evaluate_runs",
 ]
 
 
@@ -34,6 +35,7 @@ def main() -> None:
         start = time.perf_counter()
         catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.perf_counter() - start, 3)
+        print(f"{name} {took[name]}", file=sys.stderr, flush=True)
     print(
         json.dumps(
             {
