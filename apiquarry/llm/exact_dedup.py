@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from apiquarry.llm.rows import pick_rows
 from apiquarry.session import cut_lineage
 
 #: (prime, base) of the two fingerprints.
@@ -130,10 +131,5 @@ def duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    stays = exact_groups(docs, text, key).filter("keeps").select(F.col("doc_id").alias("_s_id"), F.col("sha").alias("_s_sha"), F.col("copies").alias("_s_copies"))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    marked = docs.select(row, F.col(f"`{key}`").cast("bigint").alias("_id"), F.sha2(normal_text(F.col(f"`{text}`")).cast("binary"), 256).alias("_sha"))
-    kept = marked.join(stays, (F.col("_sha") == F.col("_s_sha")) & F.col("_id").eqNullSafe(F.col("_s_id")))
-    single = kept.filter("_s_copies = 1").select("_row")
-    first = kept.filter("_s_copies > 1").groupBy("_id", "_sha").agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row")
-    return single.unionByName(first).select("_row.*")
+    stays = exact_groups(docs, text, key).filter("keeps").select("doc_id", F.col("sha").alias("digest"), "copies")
+    return pick_rows(docs, stays, key, F.sha2(normal_text(F.col(f"`{text}`")).cast("binary"), 256))
