@@ -10,9 +10,12 @@ union (its ``k`` smallest values, with the same bound), and what is left is veri
 sets, fetched for these classes only.
 
 Pairs are made in two rounds, so that a family of n copies does not make n² of them. First each
-class meets one leader in each of a few of its lists, a different one per list; verified links give
-components. Then, in each list, classes outside the largest component meet all classes of other
-components, which loses no link between different components; inside a component none is needed.
+class meets the leader of each of its lists: the class with the most retained values in common with
+others, in a family mostly the text the others were made from. Verified links give components, and
+the exact overlaps with the leader are kept. Then, in each list, classes outside the largest component
+meet classes of other components, unless their overlaps with the leader b rule a link out:
+``|x & y| <= min(|x & b|, |y & b|) + min(|x - b|, |y - b|)``. This loses no link between different
+components, and inside a component none is needed.
 
 Words are runs of bytes other than ASCII white space, A-Z in lower case. Defined results: a text
 without words (NULL, empty, white space) has an empty set, is linked with nothing and is kept; with
@@ -40,8 +43,6 @@ SKETCH = 32
 LEAST_SHARED = 10
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Lists in which a class meets a leader in the first round.
-LEADER_LISTS = 4
 #: Word hashes held at once by a task.
 WORD_CACHE = 400_000
 
@@ -122,7 +123,8 @@ def shingle_sets(docs: DataFrame, text: str = "text", key: str = "doc_id", width
 
 
 def _prefixes(classes: DataFrame) -> DataFrame:
-    """``value, cid, n``: the lists worth opening, of at least two classes each."""
+    """``value, cid, n, shared``: the lists worth opening, of at least two classes each; ``shared`` counts
+    the retained values that the class has in common with any other."""
     values = classes.select("cid", "n", F.explode("sketch").alias("value"))
     common = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     # values that one class only retained come first in the order of rarity and need no list
@@ -135,8 +137,10 @@ def _prefixes(classes: DataFrame) -> DataFrame:
     least = F.when(F.col("n") * 100 <= F.lit(SKETCH * PERCENT), whole).otherwise(F.least(F.lit(LEAST_SHARED), whole))
     spare = F.least("n", F.lit(SKETCH)) - least + 1
     taken = spare - (F.least("n", F.lit(SKETCH)) - F.size("shared"))
-    lists = ranked.withColumn("taken", taken.cast("int")).filter("taken > 0").select("cid", "n", F.explode(F.slice("shared", 1, F.col("taken"))).alias("s"))
-    lists = lists.select("s.value", "cid", "n")
+    lists = ranked.withColumn("taken", taken.cast("int")).filter("taken > 0").select(
+        "cid", "n", F.size("shared").alias("shared"), F.explode(F.slice("shared", 1, F.col("taken"))).alias("s")
+    )
+    lists = lists.select("s.value", "cid", "n", "shared")
     open_ = lists.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1").select("value")
     return lists.join(open_, "value")
 
@@ -150,9 +154,10 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs ``x, y`` whose union sketch allows the similarity."""
-    of = classes.select("cid", "n", "sketch")
-    both = pairs.join(of.toDF("x", "nx", "sx"), "x").join(of.toDF("y", "ny", "sy"), "y").filter(_near_in_size(F.col("nx"), F.col("ny")))
+    """Pairs ``x, y`` whose union sketch allows the similarity. Its upper 31 bits are enough to order
+    and compare values; a collision could only let a pair pass."""
+    of = classes.select("cid", "n", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")))
+    both = pairs.join(of.toDF("x", "nx", "sx"), "x").join(of.toDF("y", "ny", "sy"), "y")
     both = both.withColumn("u", F.slice(F.array_sort(F.array_union("sx", "sy")), 1, SKETCH)).withColumn(
         "shared", F.size(F.array_intersect(F.array_intersect("sx", "sy"), "u"))
     )
@@ -160,30 +165,31 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.filter(F.when(known, F.col("shared") * 100 >= F.size("u") * PERCENT).otherwise(F.col("shared") >= LEAST_SHARED)).select("x", "y", "nx", "ny")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``x, y, common, linked`` from the whole sets."""
     both = pairs.join(sets.toDF("x", "px"), "x").join(sets.toDF("y", "py"), "y")
-    common = F.size(F.array_intersect("px", "py"))
-    return both.filter(common * 100 >= (F.col("nx") + F.col("ny") - common) * PERCENT).select("x", "y")
+    counted = both.select("x", "y", "nx", "ny", F.size(F.array_intersect("px", "py")).cast("bigint").alias("common"))
+    return counted.select("x", "y", "common", (F.col("common") * 100 >= (F.col("nx") + F.col("ny") - F.col("common")) * PERCENT).alias("linked"))
 
 
-def _leader_pairs(lists: DataFrame) -> DataFrame:
-    few = (
-        lists.groupBy("cid")
-        .agg(F.slice(F.array_sort(F.collect_set("value")), 1, LEADER_LISTS).alias("values"))
-        .select("cid", F.explode("values").alias("value"))
-    )
-    leaders = lists.groupBy("value").agg(F.min_by("cid", F.xxhash64("cid", "value")).alias("leader"))
-    return few.join(leaders, "value").filter("cid <> leader").select(*_ordered("cid", "leader")).distinct()
+def _leaders(lists: DataFrame) -> DataFrame:
+    return lists.groupBy("value").agg(F.max_by("cid", F.struct("shared", F.xxhash64("cid"))).alias("leader"))
 
 
-def _cross_pairs(lists: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs of different components that share a list."""
+def _cross_pairs(lists: DataFrame, leaders: DataFrame, measured: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs of different components that share a list and can be similar."""
     named = lists.join(comps.toDF("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     sizes = named.groupBy("value", "comp").agg(F.count("*").alias("members"))
     mixed = sizes.groupBy("value").agg(F.max_by("comp", F.struct("members", "comp")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    mixed = cut_lineage(named.join(mixed.select("value", "main"), "value"))
-    rest = mixed.filter("comp <> main").select("value", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    pairs = rest.join(mixed, "value").filter((F.col("ca") != F.col("comp")) & _near_in_size(F.col("na"), F.col("n")))
+    mixed = named.join(mixed.select("value", "main"), "value").join(leaders, "value").withColumns({"x": F.least("cid", "leader"), "y": F.greatest("cid", "leader")})
+    mixed = mixed.join(measured.select("x", "y", "common"), ["x", "y"], "left")
+    near = F.when(F.col("cid") == F.col("leader"), F.col("n")).otherwise(F.col("common"))
+    mixed = cut_lineage(mixed.select("value", "cid", "n", "comp", "main", near.alias("near")))
+    rest = mixed.filter("comp <> main").select("value", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("near").alias("neara"))
+    most = F.least("near", "neara") + F.least(F.col("n") - F.col("near"), F.col("na") - F.col("neara"))
+    # |x & y| * (100 + PERCENT) >= PERCENT * (|x| + |y|) is what a link needs; an overlap that is not known rules nothing out
+    can = F.coalesce(most * (100 + PERCENT) >= (F.col("n") + F.col("na")) * PERCENT, F.lit(True))
+    pairs = rest.join(mixed, "value").filter((F.col("ca") != F.col("comp")) & _near_in_size(F.col("na"), F.col("n")) & can)
     return pairs.select(*_ordered("a", "cid")).distinct()
 
 
@@ -193,10 +199,14 @@ def near_links(rows: DataFrame, docs: DataFrame, text: str, key: str, width: int
         rows.filter("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.first("sketch").alias("sketch"))
     )
     lists = cut_lineage(_prefixes(classes))
-    first = cut_lineage(_likely(_leader_pairs(lists), classes))
-    links = cut_lineage(_verified(first, _sets_of(first, classes, docs, text, key, width)))
-    second = cut_lineage(_likely(_cross_pairs(lists, connected_components(links)), classes).join(first.select("x", "y"), ["x", "y"], "left_anti"))
-    more = _verified(second, _sets_of(second, classes, docs, text, key, width))
+    leaders = cut_lineage(_leaders(lists))
+    led = lists.join(leaders, "value").filter("cid <> leader").select(*_ordered("cid", "leader")).distinct()
+    first = cut_lineage(_likely(led, classes))
+    measured = cut_lineage(_measured(first, _sets_of(first, classes, docs, text, key, width)))
+    links = measured.filter("linked").select("x", "y")
+    crossed = _cross_pairs(lists, leaders, measured, connected_components(links)).join(measured.select("x", "y"), ["x", "y"], "left_anti")
+    second = cut_lineage(_likely(crossed, classes))
+    more = _measured(second, _sets_of(second, classes, docs, text, key, width)).filter("linked").select("x", "y")
     return cut_lineage(links.unionByName(more)), classes
 
 

@@ -99,11 +99,15 @@ def ftrl_pass(z: np.ndarray, n: np.ndarray, rows: list[np.ndarray], labels: np.n
 
 
 def _passes(z: np.ndarray, n: np.ndarray):
-    def run(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["turn", "doc_id"])
-        own_z, own_n = z.copy(), n.copy()
-        ftrl_pass(own_z, own_n, [np.asarray(x) for x in shard["grams"]], shard["y"].to_numpy())
-        return pd.DataFrame({"z": [own_z.tobytes()], "n": [own_n.tobytes()]})
+    """One pass over the rows of a partition, in their order; the state after it."""
+
+    def run(batches):
+        own_z, own_n, rows = z.copy(), n.copy(), 0
+        for batch in batches:
+            ftrl_pass(own_z, own_n, [np.asarray(x) for x in batch["grams"]], batch["y"].to_numpy())
+            rows += len(batch)
+        if rows:
+            yield pd.DataFrame({"z": [own_z.tobytes()], "n": [own_n.tobytes()]})
 
     return run
 
@@ -111,12 +115,14 @@ def _passes(z: np.ndarray, n: np.ndarray):
 def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", rows: int = FIT_ROWS) -> ToxicityModel:
     sample = labelled_texts(docs, labels, label, rows, text, key)
     turn = F.xxhash64(F.lit("turn"), "doc_id")
-    train = cut_lineage(sample.select("doc_id", "y", turn.alias("turn"), F.pmod(turn, F.lit(SHARDS)).alias("shard"), _grams("body").alias("grams")))
+    train = sample.select("doc_id", "y", turn.alias("turn"), F.pmod(turn, F.lit(SHARDS)).alias("shard"), _grams("body").alias("grams"))
+    # dealt out and put in order once; every pass reads the cut rows where they lie
+    train = cut_lineage(train.repartition(SHARDS, "shard").sortWithinPartitions("turn", "doc_id", F.size("grams")).select("y", "grams"))
     size = 1 << BITS
     z, n = np.zeros(size + 1, dtype=np.float32), np.zeros(size + 1, dtype=np.float32)
     for _ in range(ROUNDS):
         # SHARDS rows of 2^BITS numbers each, whatever the corpus
-        states = train.groupBy("shard").applyInPandas(_passes(z, n), "z binary, n binary").collect()
+        states = train.mapInPandas(_passes(z, n), "z binary, n binary").collect()
         if not states:
             return ToxicityModel(np.empty(0, dtype=np.int64), np.empty(0), 0.0)
         z = sum(np.frombuffer(s.z, dtype=np.float32) for s in states) / len(states)
