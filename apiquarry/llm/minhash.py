@@ -10,12 +10,14 @@ union (its ``k`` smallest values, with the same bound), and what is left is veri
 sets, fetched for these classes only.
 
 Pairs are made in two rounds, so that a family of n copies does not make n² of them. First each
-class meets the leader of each of its lists: the class with the most retained values in common with
+class meets the leader of each of its lists: the class whose retained values occur most often in
 others, in a family mostly the text the others were made from. Verified links give components, and
 the exact overlaps with the leader are kept. Then, in each list, classes outside the largest component
 meet classes of other components, unless their overlaps with the leader b rule a link out:
-``|x & y| <= min(|x & b|, |y & b|) + min(|x - b|, |y - b|)``. This loses no link between different
-components, and inside a component none is needed.
+``|x & y| <= min(|x & b|, |y & b|) + min(|x - b|, |y - b|)``. The classes of long lists meet by
+an index of their whole sets instead, in which each looks up its rarest shingles, as many as leave a
+linked set no way to miss them all. Both are bounds, so no link between different components is
+lost, and inside a component none is needed.
 
 Words are runs of bytes other than ASCII white space, A-Z in lower case. Defined results: a text
 without words (NULL, empty, white space) has an empty set, is linked with nothing and is kept; with
@@ -26,6 +28,7 @@ with the same text get the same result. Further columns are not looked at.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +46,10 @@ SKETCH = 32
 LEAST_SHARED = 10
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
+#: In lists of more classes, pairs come from an index of the classes' whole sets.
+LONG_LIST = 64
+#: Ratio of the sizes in a band.
+BAND = 1.02
 #: Word hashes held at once by a task.
 WORD_CACHE = 400_000
 
@@ -123,8 +130,8 @@ def shingle_sets(docs: DataFrame, text: str = "text", key: str = "doc_id", width
 
 
 def _prefixes(classes: DataFrame) -> DataFrame:
-    """``value, cid, n, shared``: the lists worth opening, of at least two classes each; ``shared`` counts
-    the retained values that the class has in common with any other."""
+    """``value, cid, n, shared``: the lists worth opening, of at least two classes each; ``shared`` adds up
+    how many classes retained each of its values."""
     values = classes.select("cid", "n", F.explode("sketch").alias("value"))
     common = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     # values that one class only retained come first in the order of rarity and need no list
@@ -138,7 +145,7 @@ def _prefixes(classes: DataFrame) -> DataFrame:
     spare = F.least("n", F.lit(SKETCH)) - least + 1
     taken = spare - (F.least("n", F.lit(SKETCH)) - F.size("shared"))
     lists = ranked.withColumn("taken", taken.cast("int")).filter("taken > 0").select(
-        "cid", "n", F.size("shared").alias("shared"), F.explode(F.slice("shared", 1, F.col("taken"))).alias("s")
+        "cid", "n", F.aggregate("shared", F.lit(0).cast("bigint"), lambda a, s: a + s["df"]).alias("shared"), F.explode(F.slice("shared", 1, F.col("taken"))).alias("s")
     )
     lists = lists.select("s.value", "cid", "n", "shared")
     open_ = lists.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1").select("value")
@@ -176,21 +183,60 @@ def _leaders(lists: DataFrame) -> DataFrame:
     return lists.groupBy("value").agg(F.max_by("cid", F.struct("shared", F.xxhash64("cid"))).alias("leader"))
 
 
-def _cross_pairs(lists: DataFrame, leaders: DataFrame, measured: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs of different components that share a list and can be similar."""
+def _mixed_lists(lists: DataFrame, leaders: DataFrame, measured: DataFrame, comps: DataFrame) -> DataFrame:
+    """Lists with several components: ``value, cid, n, comp, main, near, members``. ``near`` is the overlap with the leader."""
     named = lists.join(comps.toDF("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    sizes = named.groupBy("value", "comp").agg(F.count("*").alias("members"))
-    mixed = sizes.groupBy("value").agg(F.max_by("comp", F.struct("members", "comp")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    mixed = named.join(mixed.select("value", "main"), "value").join(leaders, "value").withColumns({"x": F.least("cid", "leader"), "y": F.greatest("cid", "leader")})
+    sizes = named.groupBy("value", "comp").agg(F.count("*").alias("own"))
+    mixed = (
+        sizes.groupBy("value")
+        .agg(F.max_by("comp", F.struct("own", "comp")).alias("main"), F.count("*").alias("parts"), F.sum("own").alias("members"))
+        .filter("parts > 1")
+        .drop("parts")
+    )
+    mixed = named.join(mixed, "value").join(leaders, "value").withColumns({"x": F.least("cid", "leader"), "y": F.greatest("cid", "leader")})
     mixed = mixed.join(measured.select("x", "y", "common"), ["x", "y"], "left")
     near = F.when(F.col("cid") == F.col("leader"), F.col("n")).otherwise(F.col("common"))
-    mixed = cut_lineage(mixed.select("value", "cid", "n", "comp", "main", near.alias("near")))
-    rest = mixed.filter("comp <> main").select("value", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("near").alias("neara"))
-    most = F.least("near", "neara") + F.least(F.col("n") - F.col("near"), F.col("na") - F.col("neara"))
-    # |x & y| * (100 + PERCENT) >= PERCENT * (|x| + |y|) is what a link needs; an overlap that is not known rules nothing out
-    can = F.coalesce(most * (100 + PERCENT) >= (F.col("n") + F.col("na")) * PERCENT, F.lit(True))
-    pairs = rest.join(mixed, "value").filter((F.col("ca") != F.col("comp")) & _near_in_size(F.col("na"), F.col("n")) & can)
-    return pairs.select(*_ordered("a", "cid")).distinct()
+    return mixed.select("value", "cid", "n", "comp", "main", near.alias("near"), "members")
+
+
+def _need(a: Column, b: Column) -> Column:
+    """Least overlap of two linked sets with the given sizes."""
+    return F.ceil((a + b) * float(PERCENT) / float(100 + PERCENT) - 1e-9)
+
+
+def _short_pairs(mixed: DataFrame) -> DataFrame:
+    """Pairs of different components that share a list and can be similar, ``mixed`` being short lists."""
+    rest = mixed.filter("comp <> main").select("value", *[F.col(c).alias(f"a_{c}") for c in ("cid", "n", "comp", "near")])
+    by_leader = F.least("near", "a_near") + F.least(F.col("n") - F.col("near"), F.col("a_n") - F.col("a_near"))
+    # an overlap that is not known rules nothing out
+    can = F.col("near").isNull() | F.col("a_near").isNull() | (by_leader >= _need(F.col("n"), F.col("a_n")))
+    pairs = rest.join(mixed, "value").filter((F.col("a_comp") != F.col("comp")) & _near_in_size(F.col("a_n"), F.col("n")) & can)
+    return pairs.select(*_ordered("a_cid", "cid")).distinct()
+
+
+def _band(n: Column) -> Column:
+    return F.floor(F.log(n) / math.log(BAND)).cast("int")
+
+
+def _long_pairs(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """The same for long lists, by the whole sets of their classes.
+
+    A set of n shingles that shares at least ``need`` with another shares one of any ``n - need + 1``;
+    taken are those that the fewest of these sets have, so a common text behind a long list is met
+    last. ``need`` depends on the other's size, which is therefore part of the key, in bands.
+    """
+    classes = mixed.groupBy("cid", "n", "comp").agg(F.bool_or(F.col("comp") != F.col("main")).alias("rest"))
+    index = cut_lineage(classes.join(sets, "cid").select("cid", "n", "comp", "rest", F.explode("shingles").alias("s")))
+    counts = index.groupBy("s").agg(F.count("*").alias("df"))
+    rest = index.filter("rest").join(counts, "s").groupBy("cid", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("order"))
+    least = F.ceil(F.col("n") * PERCENT / 100)
+    banded = rest.withColumn("band", F.explode(F.sequence(_band(least) - 1, _band(F.col("n") * 100 / PERCENT) + 1)))
+    low = F.greatest(least, F.floor(F.exp(F.col("band") * math.log(BAND)) - 1e-6))
+    banded = banded.withColumn("take", F.col("n") - _need(F.col("n"), low) + 1).filter("take > 0")
+    asked = banded.select("band", *[F.col(c).alias(f"a_{c}") for c in ("cid", "n", "comp")], F.explode(F.slice("order", 1, F.col("take").cast("int"))).alias("o"))
+    asked = asked.filter("o.df > 1").withColumn("s", F.col("o.s")).drop("o")
+    met = asked.join(index.withColumn("band", _band(F.col("n"))), ["s", "band"]).filter((F.col("a_comp") != F.col("comp")) & _near_in_size(F.col("a_n"), F.col("n")))
+    return met.select(*_ordered("a_cid", "cid")).distinct()
 
 
 def near_links(rows: DataFrame, docs: DataFrame, text: str, key: str, width: int) -> tuple[DataFrame, DataFrame]:
@@ -204,7 +250,10 @@ def near_links(rows: DataFrame, docs: DataFrame, text: str, key: str, width: int
     first = cut_lineage(_likely(led, classes))
     measured = cut_lineage(_measured(first, _sets_of(first, classes, docs, text, key, width)))
     links = measured.filter("linked").select("x", "y")
-    crossed = _cross_pairs(lists, leaders, measured, connected_components(links)).join(measured.select("x", "y"), ["x", "y"], "left_anti")
+    mixed = cut_lineage(_mixed_lists(lists, leaders, measured, connected_components(links)))
+    long, short = mixed.filter(F.col("members") > LONG_LIST), mixed.filter(F.col("members") <= LONG_LIST)
+    sets = _sets_of(long.select(F.col("cid").alias("x"), F.col("cid").alias("y")), classes, docs, text, key, width)
+    crossed = _short_pairs(short).unionByName(_long_pairs(long, sets)).distinct().join(measured.select("x", "y"), ["x", "y"], "left_anti")
     second = cut_lineage(_likely(crossed, classes))
     more = _measured(second, _sets_of(second, classes, docs, text, key, width)).filter("linked").select("x", "y")
     return cut_lineage(links.unionByName(more)), classes
