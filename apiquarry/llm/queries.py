@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from apiquarry.llm import bpe, exact_dedup, minhash, mixing, quality, toxicity
+from apiquarry.llm import bpe, exact_dedup, minhash, mixing, quality, secret_scan, toxicity
 from apiquarry.llm.tokenizer_files import byte_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
+@query
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digests(table(spark, sf_dir, "documents"))
