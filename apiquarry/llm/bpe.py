@@ -123,10 +123,10 @@ class Bpe:
             start += emitted
         yield from self.merged(data[start:])
 
-    def encode(self, text: str, cache: PieceCache) -> np.ndarray:
-        """Ids of a whole text."""
+    def encode(self, text: str, cache: PieceCache, special: bool = True) -> np.ndarray:
+        """Ids of a whole text; without ``special``, strings of special tokens are ordinary text."""
         out, at = [], 0
-        for found in self.cut.finditer(text) if self.cut else ():
+        for found in self.cut.finditer(text) if self.cut and special else ():
             out += [*map(cache.__getitem__, self.pieces.findall(text, at, found.start())), np.int32(self.special[found.group()]).tobytes()]
             at = found.end()
         out.extend(map(cache.__getitem__, self.pieces.findall(text, at) if at else self.pieces.findall(text)))

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from apiquarry.llm import bpe, exact_dedup, minhash, mixing, quality, secret_scan, toxicity
+from apiquarry.llm import bpe, exact_dedup, minhash, mixing, quality, secret_scan, token_counts, toxicity
 from apiquarry.llm.tokenizer_files import byte_bpe
+from apiquarry.plans.base import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +74,9 @@ if corpus_pipeline.ORACLE_SQL is not None:
 @query
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    separator = bpe.load(byte_bpe()).special["<|endoftext|>"]
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), shared_folder(spark, "tokens"), byte_bpe(), separator)

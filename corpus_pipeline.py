@@ -14,7 +14,6 @@ from them. A stage works on all its rows and decides alike at every size:
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 from apiquarry.llm import bpe, exact_dedup, minhash, mixing, quality
 from apiquarry.llm.tokenizer_files import byte_bpe
-from apiquarry.session import ensure_checkpoint_dir
+from apiquarry.plans.base import shared_folder
 
 WEIGHTS, SHARE = (3, 1, 2), 1.5
 
@@ -58,8 +57,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written beside the checkpoints and read again."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
