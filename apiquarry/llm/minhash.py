@@ -4,20 +4,19 @@ A document's set of word shingles is hashed once to 63 bits; its sketch is the `
 hashes. Documents with the same set are one class from the start. Inverted lists map a retained
 value to the classes that retained it. Two sets with a Jaccard similarity of ``SIMILARITY`` or more
 share many retained values: fewer than ``LEAST_SHARED`` of 32 with a probability below 1e-9. So it
-is enough to look in the lists of each class's rarest values, all but ``LEAST_SHARED - 1`` of them,
-and the lists of very common shingles are never opened. Candidates are filtered by the sketch of the
+is enough to look in the lists of each class's rarest values, all but ``LEAST_SHARED - LISTS`` of them,
+where linked classes meet at least ``LISTS`` times; the lists of very common shingles are never opened. Candidates are filtered by the sketch of the
 union (its ``k`` smallest values, with the same bound), and what is left is verified on the whole
 sets, fetched for these classes only.
 
 Pairs are made in two rounds, so that a family of n copies does not make n² of them. First each
 class meets the leader of each of its lists: the class whose retained values occur most often in
-others, in a family mostly the text the others were made from. Verified links give components, and
-the exact overlaps with the leader are kept. Then, in each list, classes outside the largest component
-meet classes of other components, unless their overlaps with the leader b rule a link out:
-``|x & y| <= min(|x & b|, |y & b|) + min(|x - b|, |y - b|)``. The classes of long lists meet by
+others, in a family mostly the text the others were made from. Verified links give components.
+Then, in each list, classes outside the largest component meet the classes of other components.
+The classes of long lists meet by
 an index of their whole sets instead, in which each looks up its rarest shingles, as many as leave a
-linked set no way to miss them all. Both are bounds, so no link between different components is
-lost, and inside a component none is needed.
+linked set no way to miss them all. No link between different components is lost, and inside a
+component none is needed.
 
 Words are runs of bytes other than ASCII white space, A-Z in lower case. Defined results: a text
 without words (NULL, empty, white space) has an empty set, is linked with nothing and is kept; with
@@ -46,6 +45,8 @@ SKETCH = 32
 LEAST_SHARED = 10
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
+#: Lists that two linked classes share at least, and the least size of sets of which two different ones can be linked.
+LISTS, LEAST_SIZE = 3, 4
 #: In lists of more classes, pairs come from an index of the classes' whole sets.
 LONG_LIST = 64
 #: Ratio of the sizes in a band.
@@ -140,9 +141,10 @@ def _prefixes(classes: DataFrame) -> DataFrame:
         .groupBy("cid", "n")
         .agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("shared"))
     )
+    ranked = ranked.filter(F.col("n") >= LEAST_SIZE)
     whole = F.ceil(F.col("n") * F.lit(PERCENT) / 100)
     least = F.when(F.col("n") * 100 <= F.lit(SKETCH * PERCENT), whole).otherwise(F.least(F.lit(LEAST_SHARED), whole))
-    spare = F.least("n", F.lit(SKETCH)) - least + 1
+    spare = F.least("n", F.lit(SKETCH)) - least + LISTS
     taken = spare - (F.least("n", F.lit(SKETCH)) - F.size("shared"))
     lists = ranked.withColumn("taken", taken.cast("int")).filter("taken > 0").select(
         "cid", "n", F.aggregate("shared", F.lit(0).cast("bigint"), lambda a, s: a + s["df"]).alias("shared"), F.explode(F.slice("shared", 1, F.col("taken"))).alias("s")
@@ -172,20 +174,28 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.filter(F.when(known, F.col("shared") * 100 >= F.size("u") * PERCENT).otherwise(F.col("shared") >= LEAST_SHARED)).select("x", "y", "nx", "ny")
 
 
-def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``x, y, common, linked`` from the whole sets."""
-    both = pairs.join(sets.toDF("x", "px"), "x").join(sets.toDF("y", "py"), "y")
-    counted = both.select("x", "y", "nx", "ny", F.size(F.array_intersect("px", "py")).cast("bigint").alias("common"))
-    return counted.select("x", "y", "common", (F.col("common") * 100 >= (F.col("nx") + F.col("ny") - F.col("common")) * PERCENT).alias("linked"))
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Linked pairs ``x, y``, from the whole sets.
+
+    Folded to 16 bits, sets bound the overlap from above at a quarter of the size; the pairs that may be linked
+    by that bound are the only ones for which whole sets are sent.
+    """
+    folded = sets.select("cid", F.size("shingles").alias("n"), F.array_distinct(F.transform("shingles", lambda v: (v % 65536 - 32768).cast("smallint"))).alias("f"))
+    both = pairs.select("x", "y").join(folded.toDF("x", "nx", "fx"), "x").join(folded.toDF("y", "ny", "fy"), "y")
+    most = F.size(F.array_intersect("fx", "fy")) + F.least(F.col("nx") - F.size("fx"), F.col("ny") - F.size("fy"))
+    likely = both.filter(F.least("nx", "ny", most) >= _need(F.col("nx"), F.col("ny"))).select("x", "y", "nx", "ny")
+    whole = likely.join(sets.toDF("x", "px"), "x").join(sets.toDF("y", "py"), "y")
+    common = F.size(F.array_intersect("px", "py"))
+    return whole.filter(common * 100 >= (F.col("nx") + F.col("ny") - common) * PERCENT).select("x", "y")
 
 
 def _leaders(lists: DataFrame) -> DataFrame:
     return lists.groupBy("value").agg(F.max_by("cid", F.struct("shared", F.xxhash64("cid"))).alias("leader"))
 
 
-def _mixed_lists(lists: DataFrame, leaders: DataFrame, measured: DataFrame, comps: DataFrame) -> DataFrame:
-    """Lists with several components: ``value, cid, n, comp, main, near, members``. ``near`` is the overlap with the leader."""
-    named = lists.join(comps.toDF("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+def _mixed_lists(lists: DataFrame, comps: DataFrame) -> DataFrame:
+    """Lists with several components: ``value, cid, n, comp, main, members``."""
+    named = lists.join(comps.toDF("cid", "comp"), "cid", "left").select("value", "cid", "n", F.coalesce("comp", "cid").alias("comp"))
     sizes = named.groupBy("value", "comp").agg(F.count("*").alias("own"))
     mixed = (
         sizes.groupBy("value")
@@ -193,10 +203,7 @@ def _mixed_lists(lists: DataFrame, leaders: DataFrame, measured: DataFrame, comp
         .filter("parts > 1")
         .drop("parts")
     )
-    mixed = named.join(mixed, "value").join(leaders, "value").withColumns({"x": F.least("cid", "leader"), "y": F.greatest("cid", "leader")})
-    mixed = mixed.join(measured.select("x", "y", "common"), ["x", "y"], "left")
-    near = F.when(F.col("cid") == F.col("leader"), F.col("n")).otherwise(F.col("common"))
-    return mixed.select("value", "cid", "n", "comp", "main", near.alias("near"), "members")
+    return named.join(mixed, "value")
 
 
 def _need(a: Column, b: Column) -> Column:
@@ -205,13 +212,12 @@ def _need(a: Column, b: Column) -> Column:
 
 
 def _short_pairs(mixed: DataFrame) -> DataFrame:
-    """Pairs of different components that share a list and can be similar, ``mixed`` being short lists."""
-    rest = mixed.filter("comp <> main").select("value", *[F.col(c).alias(f"a_{c}") for c in ("cid", "n", "comp", "near")])
-    by_leader = F.least("near", "a_near") + F.least(F.col("n") - F.col("near"), F.col("a_n") - F.col("a_near"))
-    # an overlap that is not known rules nothing out
-    can = F.col("near").isNull() | F.col("a_near").isNull() | (by_leader >= _need(F.col("n"), F.col("a_n")))
-    pairs = rest.join(mixed, "value").filter((F.col("a_comp") != F.col("comp")) & _near_in_size(F.col("a_n"), F.col("n")) & can)
-    return pairs.select(*_ordered("a_cid", "cid")).distinct()
+    """Pairs of different components that share ``LISTS`` lists, ``mixed`` being short lists."""
+    rest = mixed.filter("comp <> main").select("value", *[F.col(c).alias(f"a_{c}") for c in ("cid", "n", "comp")])
+    pairs = rest.join(mixed, "value").filter((F.col("a_comp") != F.col("comp")) & _near_in_size(F.col("a_n"), F.col("n")))
+    # two classes outside the main component meet once each way
+    once = pairs.filter((F.col("comp") == F.col("main")) | (F.col("a_cid") < F.col("cid")))
+    return once.groupBy(*_ordered("a_cid", "cid")).agg(F.count("*").alias("met")).filter(F.col("met") >= LISTS).select("x", "y")
 
 
 def _band(n: Column) -> Column:
@@ -248,14 +254,13 @@ def near_links(rows: DataFrame, docs: DataFrame, text: str, key: str, width: int
     leaders = cut_lineage(_leaders(lists))
     led = lists.join(leaders, "value").filter("cid <> leader").select(*_ordered("cid", "leader")).distinct()
     first = cut_lineage(_likely(led, classes))
-    measured = cut_lineage(_measured(first, _sets_of(first, classes, docs, text, key, width)))
-    links = measured.filter("linked").select("x", "y")
-    mixed = cut_lineage(_mixed_lists(lists, leaders, measured, connected_components(links)))
+    links = cut_lineage(_verified(first, _sets_of(first, classes, docs, text, key, width)))
+    mixed = cut_lineage(_mixed_lists(lists, connected_components(links)))
     long, short = mixed.filter(F.col("members") > LONG_LIST), mixed.filter(F.col("members") <= LONG_LIST)
     sets = _sets_of(long.select(F.col("cid").alias("x"), F.col("cid").alias("y")), classes, docs, text, key, width)
-    crossed = _short_pairs(short).unionByName(_long_pairs(long, sets)).distinct().join(measured.select("x", "y"), ["x", "y"], "left_anti")
+    crossed = _short_pairs(short).unionByName(_long_pairs(long, sets)).distinct().join(first.select("x", "y"), ["x", "y"], "left_anti")
     second = cut_lineage(_likely(crossed, classes))
-    more = _measured(second, _sets_of(second, classes, docs, text, key, width)).filter("linked").select("x", "y")
+    more = _verified(second, _sets_of(second, classes, docs, text, key, width))
     return cut_lineage(links.unionByName(more)), classes
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from apiquarry.llm import bpe, exact_dedup, minhash, mixing, quality, secret_scan, token_counts, toxicity
+from apiquarry.llm import bpe, exact_dedup, language, minhash, mixing, quality, secret_scan, token_counts, toxicity
 from apiquarry.llm.tokenizer_files import byte_bpe
 from apiquarry.plans.base import shared_folder
 
@@ -80,3 +80,8 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     separator = bpe.load(byte_bpe()).special["<|endoftext|>"]
     return token_counts.token_counts(table(spark, sf_dir, "documents"), shared_folder(spark, "tokens"), byte_bpe(), separator)
+
+
+@query
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.page_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
