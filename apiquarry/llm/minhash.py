@@ -3,20 +3,19 @@
 A document's set of word shingles is hashed once to 63 bits; its sketch is the ``k`` smallest
 hashes. Documents with the same set are one class from the start. Inverted lists map a retained
 value to the classes that retained it. Two sets with a Jaccard similarity of ``SIMILARITY`` or more
-share many retained values: fewer than ``LEAST_SHARED`` of 32 with a probability below 1e-9. So it
-is enough to look in the lists of each class's rarest values, all but ``LEAST_SHARED - LISTS`` of them,
-where linked classes meet at least ``LISTS`` times; the lists of very common shingles are never opened. Candidates are filtered by the sketch of the
-union (its ``k`` smallest values, with the same bound), and what is left is verified on the whole
-sets, fetched for these classes only.
+share many retained values: fewer than ``LEAST_SHARED`` of 64 with a probability of 1e-9. So it is
+enough to look in the lists of each class's rarest values, all but ``LEAST_SHARED - LISTS`` of them,
+where linked classes meet at least ``LISTS`` times; the lists of very common shingles are never
+opened. Candidates are filtered by the sketch of the union (its ``k`` smallest values, with the same
+bound), and what is left is verified on the whole sets, fetched for these classes only.
 
 Pairs are made in two rounds, so that a family of n copies does not make n² of them. First each
 class meets the leader of each of its lists: the class whose retained values occur most often in
 others, in a family mostly the text the others were made from. Verified links give components.
-Then, in each list, classes outside the largest component meet the classes of other components.
-The classes of long lists meet by
-an index of their whole sets instead, in which each looks up its rarest shingles, as many as leave a
-linked set no way to miss them all. No link between different components is lost, and inside a
-component none is needed.
+Then, in each list, classes outside the largest component meet the classes of other components. The
+classes of long lists meet by an index of their whole sets instead, in which each looks up its
+rarest shingles, as many as leave a linked set no way to miss them all. No link between different
+components is lost, and inside a component none is needed.
 
 Words are runs of bytes other than ASCII white space, A-Z in lower case. Defined results: a text
 without words (NULL, empty, white space) has an empty set, is linked with nothing and is kept; with
@@ -40,9 +39,9 @@ from apiquarry.llm.components import connected_components
 from apiquarry.llm.rows import pick_rows
 from apiquarry.session import cut_lineage
 
-SKETCH = 32
-#: Of ``SKETCH`` values of a union, common to two sets of similarity 0.8: Binomial(32, 0.8) < 10 has probability 3e-10.
-LEAST_SHARED = 10
+SKETCH = 64
+#: Of ``SKETCH`` values of a union, common to two sets of similarity 0.8: Binomial(64, 0.8) < 30 has probability 1e-9.
+LEAST_SHARED = 30
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Lists that two linked classes share at least, and the least size of sets of which two different ones can be linked.
