@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from apiquarry.llm import bpe, exact_dedup, language, minhash, mixing, quality, secret_scan, token_counts, toxicity
+from apiquarry.llm import bpe, exact_dedup, language, minhash, mixing, quality, search, secret_scan, token_counts, toxicity
 from apiquarry.llm.tokenizer_files import byte_bpe
 from apiquarry.plans.base import shared_folder
 
@@ -85,3 +85,9 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.page_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return search.top_k(docs, docs.filter("doc_id % 50 = 0"))
