@@ -72,8 +72,11 @@ def mask_all_json(c: Column, secrets: Column) -> Column:
     """
     ordered = F.array_sort(F.filter(secrets, lambda s: s["value"] != ""))
     # Even slots lie outside string literals, odd slots are the literals themselves.
-    outside = F.split(c, r'"(?:[^"\\]|\\.)*"')
-    literals = F.regexp_extract_all(c, F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1))
+    # Possessive and unrolled: nothing is pushed on a stack per character, however long a literal is.
+    inside = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
+    outside = F.split(c, f'"{inside}"')
+    literals = F.regexp_extract_all(c, F.lit(f'"({inside})"'), F.lit(1))
+
     def fold(text: Column) -> Column:
         return F.aggregate(ordered, text, lambda a, s: F.replace(a, s["value"], F.lit(REDACTION)))
 

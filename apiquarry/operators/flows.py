@@ -277,7 +277,7 @@ def lint_flows(nodes: DataFrame, edges: DataFrame, variables: DataFrame, endpoin
     )
     missing = judged.filter(~F.coalesce(in_scope, F.lit(False)))
     later = F.coalesce(F.col("_definer") != F.col("node_id"), F.lit(False))
-    shown = F.concat(F.lit("`{{"), F.col("name"), F.lit("}}`"))
+    shown = F.concat(F.lit("{{"), F.col("name"), F.lit("}}"))
     undefined = missing.select(
         *KEYS,
         "node_id",
@@ -285,18 +285,15 @@ def lint_flows(nodes: DataFrame, edges: DataFrame, variables: DataFrame, endpoin
         F.col("name").alias("subject"),
         F.when(
             later,
-            F.concat(
-                shown, F.lit(" is set by `"), F.col("_definer"), F.lit("`, which does not run before this step; add an edge from `"),
-                F.col("_definer"), F.lit("` to `"), F.col("node_id"), F.lit("`"),
-            ),
+            F.concat(shown, F.lit(" comes too late; missing edge: "), F.col("_definer"), F.lit(" -> "), F.col("node_id")),
         )
-        .otherwise(F.concat(shown, F.lit(" is not defined by the environment or by any step before this one")))
+        .otherwise(F.concat(shown, F.lit(" has no value here")))
         .alias("message"),
     )
     requests = nodes.filter("type = 'request'")
     bare = requests.filter(F.size(F.coalesce("assert", F.array().cast(dict(nodes.dtypes)["assert"]))) == 0).select(
         *KEYS, "node_id", F.lit("no_assertions").alias("rule"), F.lit(None).cast("string").alias("subject"),
-        F.lit("has no assertions, so it passes on any response, a 500 included; assert at least the status").alias("message"),
+        F.lit("nothing is asserted about the answer").alias("message"),
     )
     out = undefined.unionByName(bare)
     if endpoints is not None:
@@ -312,7 +309,7 @@ def stale_references(requests: DataFrame, endpoints: DataFrame) -> DataFrame:
     named = requests.filter("spec_ref is not null").join(scanned, P, "left_semi")
     return named.join(endpoints.select(P, F.col("id").alias("spec_ref")).distinct(), [P, "spec_ref"], "left_anti").select(
         *KEYS, "node_id", F.lit("stale_spec_ref").alias("rule"), F.col("spec_ref").alias("subject"),
-        F.concat(F.lit("`spec_ref` names `"), F.col("spec_ref"), F.lit("`, which the last scan did not find")).alias("message"),
+        F.concat(F.lit("not in the inventory: "), F.col("spec_ref")).alias("message"),
     )
 
 

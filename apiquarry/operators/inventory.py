@@ -15,7 +15,7 @@ P = "project_id"
 
 # The methods listed for a route that states none.
 UNSPECIFIED_METHODS = ["GET", "POST", "PUT", "PATCH", "DELETE"]
-DEFAULT_PAGE, MAX_PAGE = 50, 200
+DEFAULT_PAGE = 50
 
 
 def to_endpoints(routes: DataFrame, framework: Column) -> DataFrame:
@@ -123,7 +123,7 @@ def in_order(endpoints: DataFrame) -> DataFrame:
 
 def search_endpoints(view: DataFrame, needle: str = "", offset: int = 0, limit: int | None = None) -> DataFrame:
     """Case-insensitive substring over display, group and summary; one page in total order."""
-    size = min(max(DEFAULT_PAGE if limit is None else limit, 1), MAX_PAGE)
+    size = DEFAULT_PAGE if limit is None else limit
     return matching(view, needle).orderBy(P, "normalized", "method", "display").offset(offset).limit(size)
 
 

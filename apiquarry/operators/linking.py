@@ -11,8 +11,7 @@ from apiquarry.session import cut_lineage
 
 P = "project_id"
 
-# Bounds and file endings of the module systems.
-MAX_ALIAS_HOPS = 16
+# File endings of the module systems.
 JS_EXTENSIONS = ["js", "ts", "jsx", "tsx", "mjs", "cjs", "mts", "cts"]
 JS_SWAPS = {"js": "ts", "mjs": "mts", "cjs": "cts", "jsx": "tsx"}
 
@@ -140,11 +139,13 @@ def last_exports(exports: DataFrame) -> DataFrame:
 
 
 def canonical_symbols(declared: DataFrame, bindings: DataFrame, exports: DataFrame) -> DataFrame:
-    """Where each alias ends: (module, name) → (to_module, to_name) after at most 16 hops.
+    """Where each alias ends: (module, name) → (to_module, to_name).
 
     One hop is: a declared router stays; an export stands for its local name; an import for
-    its target, a whole module for its ``default``. The hop table is composed with itself four
-    times, which is exactly sixteen hops. Names without a hop are their own end and absent.
+    its target, a whole module for its ``default``. The hop table is composed with itself until
+    nothing moves, which takes the logarithm of the longest chain. Aliases that go round in a circle
+    still move when the number of moving ones stops falling; they have no end. Names without a hop or
+    an end are absent.
     """
     by_export = exports.filter("exported <> local").select(
         P, "module", F.col("exported").alias("name"), F.col("module").alias("e_module"), F.col("local").alias("e_name")
@@ -168,7 +169,8 @@ def canonical_symbols(declared: DataFrame, bindings: DataFrame, exports: DataFra
         )
     )
     hops = cut_lineage(hops)
-    for _ in range(4):
+    before = None
+    while True:
         onward = hops.select(
             P,
             F.col("module").alias("to_module"),
@@ -183,9 +185,13 @@ def canonical_symbols(declared: DataFrame, bindings: DataFrame, exports: DataFra
                 "name",
                 F.coalesce("n_module", "to_module").alias("to_module"),
                 F.coalesce("n_name", "to_name").alias("to_name"),
+                F.col("n_module").isNotNull().alias("moved"),
             )
         )
-    return hops
+        moving = hops.filter("moved").count()
+        if moving in (0, before):
+            return hops.filter("NOT moved").drop("moved")
+        hops, before = hops.drop("moved"), moving
 
 
 def resolve_symbols(refs: DataFrame, declared: DataFrame, bindings: DataFrame, exports: DataFrame) -> DataFrame:
@@ -279,13 +285,12 @@ def resolve_go_symbols(refs: DataFrame, declared: DataFrame, bindings: DataFrame
             F.when(dotted & F.col("_pkg").isNotNull(), rest).otherwise(F.col("name")).alias("look"),
             F.when(F.col("_here"), F.col("module")).alias("sym_module"),
             F.when(F.col("_here"), F.col("name")).alias("sym_name"),
+            F.array().cast("array<string>").alias("seen"),
         )
     )
     settled = state.filter("sym_module is not null").select(P, "module", "name", "sym_module", "sym_name")
     open_ = cut_lineage(state.filter("sym_module is null"))
-    for _ in range(MAX_ALIAS_HOPS):
-        if open_.isEmpty():
-            break
+    while not open_.isEmpty():
         heads = aliases.select(P, "pkg", F.col("look").alias("_head"), F.col("alias").alias("_head_alias"))
         looked = cut_lineage(
             open_.drop("sym_module", "sym_name")
@@ -296,8 +301,10 @@ def resolve_go_symbols(refs: DataFrame, declared: DataFrame, bindings: DataFrame
         )
         tail = F.when(F.contains(F.col("look"), F.lit(".")), F.regexp_replace("look", r"^[^.]*", "")).otherwise("")
         moved = F.coalesce(F.col("alias"), F.concat(F.col("_head_alias"), tail))
+        # an alias met before leads nowhere: the reference keeps its local name
+        ends = moved.isNull() | F.array_contains("seen", moved)
         settled = settled.unionByName(
-            looked.filter(F.col("r_module").isNotNull() | moved.isNull()).select(
+            looked.filter(F.col("r_module").isNotNull() | ends).select(
                 P,
                 "module",
                 "name",
@@ -306,15 +313,13 @@ def resolve_go_symbols(refs: DataFrame, declared: DataFrame, bindings: DataFrame
             )
         )
         open_ = cut_lineage(
-            looked.filter(F.col("r_module").isNull() & moved.isNotNull()).select(
+            looked.filter(F.col("r_module").isNull() & ~ends).select(
                 P, "module", "name", "pkg", moved.alias("look"),
                 F.lit(None).cast("string").alias("sym_module"), F.lit(None).cast("string").alias("sym_name"),
+                F.concat("seen", F.array(F.col("look"))).alias("seen"),
             )
         )
-    # Out of hops: the reference keeps its local name.
-    return settled.unionByName(
-        open_.select(P, "module", "name", F.col("module").alias("sym_module"), F.col("name").alias("sym_name"))
-    )
+    return settled
 
 
 def first_declarations(routers: DataFrame) -> DataFrame:

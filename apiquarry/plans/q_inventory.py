@@ -112,8 +112,8 @@ def resolve_routes(spark, sf):
 
 @query(
     "graph_warnings",
-    """SELECT 'e0' AS project_id, 'orphaned_router' AS kind, 'app4.py:app' AS subject, 'router `app4.py:app` is never mounted, so its routes may be unreachable' AS message FROM region WHERE r_regionkey = 4
- UNION ALL SELECT 'e0', 'undeclared_router', 'lost' || (c_custkey % 3) || '.py:router', count(*) || ' route(s) are registered on `lost' || (c_custkey % 3) || '.py:router`, which is not declared there — probably a parameter; their full paths are unknown'
+    """SELECT 'e0' AS project_id, 'orphaned_router' AS kind, 'app4.py:app' AS subject, 'no mount leads to app4.py:app' AS message FROM region WHERE r_regionkey = 4
+ UNION ALL SELECT 'e0', 'undeclared_router', 'lost' || (c_custkey % 3) || '.py:router', 'routes without a known prefix: ' || count(*) || ' on undeclared lost' || (c_custkey % 3) || '.py:router'
  FROM customer WHERE c_custkey % 50 = 7 GROUP BY c_custkey % 3""",
 )
 def graph_warnings(spark, sf):
@@ -150,11 +150,11 @@ def closure_(spark, sf):
 
 @query(
     "cycle_guard",
-    """SELECT 'n' || n_nationkey AS project_id, 'cycle' AS kind, 'm.py:a' AS subject FROM nation WHERE n_nationkey % 2 = 0
- UNION ALL SELECT 'n' || n_nationkey, 'too_deep', 'm.py:c32' FROM nation WHERE n_nationkey % 2 = 1""",
+    """SELECT 'n' || n_nationkey AS project_id, 'cycle' AS kind, 'm.py:a' AS subject, 2 AS visits FROM nation WHERE n_nationkey % 2 = 0
+ UNION ALL SELECT 'n' || n_nationkey, NULL, NULL, 40 FROM nation WHERE n_nationkey % 2 = 1""",
 )
 def cycle_guard(spark, sf):
-    """Even nations mount in a ring, odd ones in a chain longer than the bound."""
+    """Even nations mount in a ring, which is reported; odd ones in a chain of forty, which is walked to its end."""
     base = table(spark, sf, "nation").selectExpr("concat('n', n_nationkey) AS project_id", "n_nationkey % 2 = 0 AS ring")
     names = F.when(c("ring"), F.array(F.lit("a"), F.lit("b"))).otherwise(
         F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.concat(F.lit("c"), i.cast("string")))
@@ -170,8 +170,8 @@ def cycle_guard(spark, sf):
         F.array().cast("array<string>").alias("m_methods"), paths.empty_path().alias("c_prefix"), F.lit(None).cast("string").alias("c_group"),
     )
     roots = routers.filter("is_app_root").select(P, F.struct("module", "name").alias("symbol"))
-    _, warnings = graph.walk(roots, cut_lineage(steps), routers, orphaned=False)
-    return warnings.select(P, "kind", "subject")
+    visits, warnings = graph.walk(roots, cut_lineage(steps), routers, orphaned=False)
+    return visits.groupBy(P).agg(F.count("*").alias("visits")).join(warnings.select(P, "kind", "subject"), P, "left")
 
 
 @query(
@@ -314,21 +314,22 @@ def resolve_js_imports(spark, sf):
 @query(
     "canonical_symbols",
     """SELECT p_partkey AS k, 'x' || (p_partkey + 20 - p_partkey % 20) || '.js' AS to_module, 'router' AS to_name FROM part
- WHERE p_partkey % 20 >= 4 AND p_partkey + 20 - p_partkey % 20 <= (SELECT max(p_partkey) FROM part)""",
+ WHERE p_partkey % 20 <> 0 AND p_partkey + 20 - p_partkey % 20 <= (SELECT max(p_partkey) FROM part)
+ UNION ALL SELECT p_partkey, 'x' || (1 + (SELECT max(p_partkey) FROM part)) || '.js', 'router' FROM part
+ WHERE p_partkey % 20 <> 0 AND p_partkey + 20 - p_partkey % 20 > (SELECT max(p_partkey) FROM part)
+ UNION ALL SELECT p_partkey, 'y' || p_partkey || '.js', 'local' FROM part""",
 )
 def canonical_symbols(spark, sf):
-    """Chains of re-exports: x1 → x2 → … up to the next multiple of twenty, which declares it."""
+    """Chains of re-exports: x1 → x2 → … up to the next multiple of twenty, which declares it, or to the
+    end; and exports y1, y2, … under another name than the local one."""
     part = table(spark, sf, "part").select(F.lit("p").alias(P), c("p_partkey").alias("k"))
     declared = part.filter("k % 20 = 0").selectExpr(P, "concat('x', k, '.js') AS module", "'router' AS name")
     bindings = part.filter("k % 20 <> 0").selectExpr(
         P, "concat('x', k, '.js') AS module", "'router' AS local_name", "'symbol' AS kind", "concat('x', k + 1, '.js') AS target_module", "'router' AS target_name"
     )
-    exports = part.limit(0).selectExpr(P, "'' AS module", "'' AS exported", "'' AS local")
+    exports = part.selectExpr(P, "concat('y', k, '.js') AS module", "'public' AS exported", "'local' AS local")
     ends = linking.canonical_symbols(declared, bindings, exports)
-    last = declared.selectExpr(P, "module AS to_module", "name AS to_name")
-    return ends.join(last, [P, "to_module", "to_name"]).select(
-        F.regexp_extract("module", r"(\d+)", 1).cast("bigint").alias("k"), "to_module", "to_name"
-    )
+    return ends.select(F.regexp_extract("module", r"(\d+)", 1).cast("bigint").alias("k"), "to_module", "to_name")
 
 
 @query(

@@ -27,14 +27,14 @@ def tree(spark, sf):
 SQL_TREE = """f AS (SELECT doc_id, source AS project_id, CASE doc_id % 6 WHEN 0 THEN 'node_modules/x' || doc_id || '.js' WHEN 1 THEN 'app/tests/t' || doc_id || '.py' WHEN 2 THEN 'app/m' || doc_id || '.py' WHEN 3 THEN 'web/s' || doc_id || '.ts' WHEN 4 THEN 'svc/h' || doc_id || '.go' ELSE 'docs/d' || doc_id || '.md' END AS path, text AS content FROM documents)"""
 
 
-@query("read_source_files", f"WITH {SQL_TREE} SELECT project_id, path FROM f WHERE doc_id % 6 <> 0 QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY path) <= 30")
+@query("read_source_files", f"WITH {SQL_TREE} SELECT project_id, path FROM f WHERE doc_id % 6 <> 0")
 def read_source_files(spark, sf):
-    return files.list_files(tree(spark, sf), cap=30)[0].select(P, "path")
+    return files.list_files(tree(spark, sf))[0].select(P, "path")
 
 
-@query("source_files_report", f"WITH {SQL_TREE} SELECT project_id, least(count(*), 30) AS files, count(*) > 30 AS truncated FROM f WHERE doc_id % 6 <> 0 GROUP BY 1")
+@query("source_files_report", f"WITH {SQL_TREE} SELECT project_id, count(*) FILTER (doc_id % 6 <> 0) AS files, count(*) FILTER (doc_id % 6 = 0) AS skipped FROM f GROUP BY 1")
 def source_files_report(spark, sf):
-    return files.list_files(tree(spark, sf), cap=30)[1]
+    return files.list_files(tree(spark, sf))[1]
 
 
 @query("language_of", f"WITH {SQL_TREE} SELECT CASE doc_id % 6 WHEN 0 THEN 'javascript' WHEN 1 THEN 'python' WHEN 2 THEN 'python' WHEN 3 THEN 'typescript' WHEN 4 THEN 'go' END AS language, count(*) AS files FROM f GROUP BY 1")
@@ -313,12 +313,12 @@ def coalesce_changes(spark, sf):
     return got.select(P, F.unix_timestamp("started").alias("started"), F.size("documents").cast("bigint").alias("documents"))
 
 
-@query("suppress_echo", "SELECT user_id, event_id FROM events e WHERE user_id % 5 < 3 AND NOT EXISTS (SELECT 1 FROM (SELECT user_id AS u, arg_max(CASE WHEN event_type = 'error' THEN 'gone' ELSE props END, event_id) AS last FROM events WHERE event_id % 2 = 0 AND user_id % 5 < 3 AND user_id % 5 <> 2 GROUP BY 1) w WHERE w.u = e.user_id AND w.last = CASE WHEN event_type = 'error' THEN 'gone' ELSE props END) AND user_id % 5 <> 2")
+@query("suppress_echo", "SELECT user_id, event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM (SELECT user_id AS u, arg_max(CASE WHEN event_type = 'error' THEN 'gone' ELSE props END, event_id) AS last FROM events WHERE event_id % 2 = 0 GROUP BY 1) w WHERE w.u = e.user_id AND w.last = CASE WHEN event_type = 'error' THEN 'gone' ELSE props END)")
 def suppress_echo(spark, sf):
     """Even events are own writes; what repeats a document's last own write is dropped."""
-    feed = change_feed(spark, sf).withColumn("path", F.concat(F.lit("x/flows/"), F.regexp_extract("path", r"(\d+)", 1), F.lit(".yaml")))
-    user = table(spark, sf, "events").selectExpr("event_id AS seq", "user_id")
-    feed = feed.drop("path").join(user, "seq").filter("user_id % 5 < 2").withColumn("path", F.concat(F.lit("x/flows/f"), c("user_id").cast("string"), F.lit(".yaml")))
+    feed = table(spark, sf, "events").selectExpr(
+        "concat('p', user_id % 7) AS project_id", "ts", "event_id AS seq", "user_id", "concat('x/flows/f', user_id, '.yaml') AS path", "event_type = 'error' AS removed", "props AS content"
+    )
     writes = feed.filter("seq % 2 = 0").withColumn("written_at", c("seq"))
     return changes.suppress_echo(feed, writes).select("user_id", c("seq").alias("event_id"))
 

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from apiquarry.functions.http import language_of
 from apiquarry.functions.paths import STYLES, parse_path
-from apiquarry.operators.groups import first_per_key, top_k_per_key
+from apiquarry.operators.groups import first_per_key
 
 P = "project_id"
 
-# The cap of a project, skipped directories and manifest names.
-MAX_FILES = 40_000
+# Skipped directories and manifest names.
 SKIP_DIRECTORIES = [
     "node_modules", "__pycache__", ".venv", "venv", ".git", ".hg", ".svn", ".mypy_cache", ".pytest_cache",
     ".ruff_cache", ".tox", "target", "vendor", "dist", "build", ".next", ".nuxt", ".svelte-kit", "coverage",
@@ -58,17 +57,14 @@ def _skipped(path: Column) -> Column:
     return F.arrays_overlap(F.split(path, "/", -1), F.array(*[F.lit(d) for d in SKIP_DIRECTORIES]))
 
 
-def list_files(files: DataFrame, cap: int = MAX_FILES) -> tuple[DataFrame, DataFrame]:
-    """(files kept, per-project counts with ``truncated``): skip noise, keep the first ``cap``
-    paths of a project and say where something was left out."""
-    wanted = files.filter(~_skipped(F.col("path")))
-    counts = wanted.groupBy(P).agg(F.count("*").alias("found"))
-    report = counts.select(P, F.least("found", F.lit(cap)).alias("files"), (F.col("found") > cap).alias("truncated"))
-    over = counts.filter(F.col("found") > cap).select(P)
-    # Only projects over the cap are ranked; all the others pass untouched.
-    within = wanted.join(over, P, "left_anti")
-    beyond = top_k_per_key(wanted.join(over, P, "left_semi"), [P], [F.col("path")], cap, ["path"], "_r").drop("_r")
-    return within.unionByName(beyond), report
+def list_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files kept, per-project counts of files kept and skipped): every file outside the noise.
+
+    The counts read paths only, and the files are filtered where they lie.
+    """
+    noise = _skipped(F.col("path"))
+    report = files.groupBy(P).agg(F.count_if(~noise).alias("files"), F.count_if(noise).alias("skipped"))
+    return files.filter(~noise), report
 
 
 def with_language(files: DataFrame) -> DataFrame:

@@ -181,7 +181,7 @@ def test_runs_extract_branch_and_fail(spark):
     assert got["lost"]["failure_name"] == "nope, gone"
     assert (got["down"]["failure_kind"], got["down"]["failure_message"]) == ("transport", "refused")
     assert (got["empty"]["failure_kind"], got["empty"]["failure_message"]) == ("extraction", "nothing at body path `none`")
-    assert (got["loop"]["failure_kind"], got["loop"]["failure_message"]) == ("resolve", "variable `self` refers to itself")
+    assert (got["loop"]["failure_kind"], got["loop"]["failure_message"]) == ("resolve", "reference in a circle: self")
     total = runs.run_summary(out).first()
     assert (total["passed"], total["failed"], total["skipped"], total["run_passed"]) == (4, 5, 4, False)
     run_edges = es.withColumn("run_id", F.lit("r1"))

@@ -178,3 +178,10 @@ def test_masks(spark):
 def test_cut_bytes(one):
     for n, want in [(0, ""), (1, "a"), (2, "a"), (3, "aé"), (5, "aé"), (6, "aé日"), (9, "aé日x")]:
         assert one(text.cut_bytes(c("t"), n), t="aé日x") == want
+
+
+def test_masks_survive_long_strings_with_escapes(spark):
+    long = 'say \\"hunter2\\" and \\\\ ' * 40_000 + "x" * 300_000
+    df = spark.createDataFrame([('{"a":"' + long + '","n":[1,"hunter2"]}', [("s", "hunter2")])], "j string, s array<struct<name:string,value:string>>")
+    got = df.select(text.mask_all_json(F.col("j"), F.col("s"))).first()[0]
+    assert "hunter2" not in got and got.count(text.REDACTION) == 40_001 and len(got) > 900_000
