@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from apiquarry.llm.rows import pick_rows
+from apiquarry.llm.rows import maybe_in, pick_rows
 from apiquarry.session import cut_lineage
 
 #: (prime, base) of the two fingerprints.
@@ -93,8 +93,8 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 def _collisions(docs: DataFrame, prints: DataFrame, text: str, key: str) -> DataFrame:
     """Fingerprints (n, h1, h2) under which not all texts are the same."""
     shared = cut_lineage(prints.groupBy("n", "h1", "h2").agg(F.count("*").alias("members")).filter("members > 1"))
-    suspects = prints.join(shared, ["n", "h1", "h2"], "left_semi").select(F.col("doc_id").alias("s_id"), F.col("sha").alias("s_sha"), "h1", "h2")
-    hashed = _hashed(docs, text, key)
+    suspects = cut_lineage(prints.join(shared, ["n", "h1", "h2"], "left_semi").select(F.col("doc_id").alias("s_id"), F.col("sha").alias("s_sha"), "h1", "h2"))
+    hashed = _hashed(maybe_in(docs, F.col(f"`{key}`").cast("bigint"), suspects.select("s_id")), text, key)
     again = hashed.join(suspects, (hashed.sha == suspects.s_sha) & hashed.doc_id.eqNullSafe(suspects.s_id))
     compared = _chunks(again, "n", "h1", "h2").groupBy("n", "h1", "h2", "k").agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi"))
     return compared.filter("lo <> hi").select("n", "h1", "h2").distinct()

@@ -14,7 +14,8 @@ class meets the leader of each of its lists: the class whose retained values occ
 others, in a family mostly the text the others were made from. Verified links give components.
 Then, in each list, classes outside the largest component meet the classes of other components. The
 classes of long lists meet by an index of their whole sets instead, in which each looks up its
-rarest shingles, as many as leave a linked set no way to miss them all. No link between different
+shingles that the leader lacks and that are rare, as many as leave a linked set no way to miss
+them all. No link between different
 components is lost, and inside a component none is needed.
 
 Words are runs of bytes other than ASCII white space, A-Z in lower case. Defined results: a text
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apiquarry.llm.components import connected_components
-from apiquarry.llm.rows import pick_rows
+from apiquarry.llm.rows import maybe_in, pick_rows
 from apiquarry.session import cut_lineage
 
 SKETCH = 64
@@ -223,17 +224,24 @@ def _band(n: Column) -> Column:
     return F.floor(F.log(n) / math.log(BAND)).cast("int")
 
 
-def _long_pairs(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+def _long_pairs(mixed: DataFrame, leaders: DataFrame, sets: DataFrame) -> DataFrame:
     """The same for long lists, by the whole sets of their classes.
 
-    A set of n shingles that shares at least ``need`` with another shares one of any ``n - need + 1``;
-    taken are those that the fewest of these sets have, so a common text behind a long list is met
-    last. ``need`` depends on the other's size, which is therefore part of the key, in bands.
+    A set of n shingles that shares at least ``need`` with another shares one of any ``n - need + 1``.
+    Taken are first those that the leader of its longest list lacks, the rarest first: a set that is not
+    linked with the leader shares less than ``need`` with it, so for partners of the leader's size or more
+    these are all that is looked up, and the family behind the list is not met. ``need`` depends on
+    the other's size, which is therefore part of the key, in bands.
     """
-    classes = mixed.groupBy("cid", "n", "comp").agg(F.bool_or(F.col("comp") != F.col("main")).alias("rest"))
-    index = cut_lineage(classes.join(sets, "cid").select("cid", "n", "comp", "rest", F.explode("shingles").alias("s")))
+    classes = mixed.join(leaders, "value").groupBy("cid", "n", "comp").agg(
+        F.bool_or(F.col("comp") != F.col("main")).alias("rest"), F.max_by("leader", F.struct("members", "value")).alias("leader")
+    )
+    index = cut_lineage(classes.join(sets, "cid").select("cid", "n", "comp", "rest", "leader", F.explode("shingles").alias("s")))
     counts = index.groupBy("s").agg(F.count("*").alias("df"))
-    rest = index.filter("rest").join(counts, "s").groupBy("cid", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("order"))
+    led = index.select(F.col("cid").alias("leader"), "s", F.lit(True).alias("led"))
+    rest = index.filter("rest").join(led, ["leader", "s"], "left").join(counts, "s").groupBy("cid", "n", "comp").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("led", F.lit(False)).alias("led"), "df", "s"))).alias("order")
+    )
     least = F.ceil(F.col("n") * PERCENT / 100)
     banded = rest.withColumn("band", F.explode(F.sequence(_band(least) - 1, _band(F.col("n") * 100 / PERCENT) + 1)))
     low = F.greatest(least, F.floor(F.exp(F.col("band") * math.log(BAND)) - 1e-6))
@@ -257,8 +265,9 @@ def near_links(rows: DataFrame, docs: DataFrame, text: str, key: str, width: int
     mixed = cut_lineage(_mixed_lists(lists, connected_components(links)))
     long, short = mixed.filter(F.col("members") > LONG_LIST), mixed.filter(F.col("members") <= LONG_LIST)
     sets = _sets_of(long.select(F.col("cid").alias("x"), F.col("cid").alias("y")), classes, docs, text, key, width)
-    crossed = _short_pairs(short).unionByName(_long_pairs(long, sets)).distinct().join(first.select("x", "y"), ["x", "y"], "left_anti")
-    second = cut_lineage(_likely(crossed, classes))
+    seen = first.select("x", "y")
+    near = _likely(_short_pairs(short).join(seen, ["x", "y"], "left_anti"), classes).select("x", "y")
+    second = cut_lineage(near.unionByName(_long_pairs(long, leaders, sets).join(seen, ["x", "y"], "left_anti")).distinct())
     more = _verified(second, _sets_of(second, classes, docs, text, key, width))
     return cut_lineage(links.unionByName(more)), classes
 
@@ -266,9 +275,9 @@ def near_links(rows: DataFrame, docs: DataFrame, text: str, key: str, width: int
 def _sets_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
     """Whole sets of the classes in ``pairs``, from one document of each."""
     used = pairs.select("x").unionByName(pairs.select(F.col("y").alias("x"))).distinct()
-    ids = classes.join(used, F.col("cid") == F.col("x"), "left_semi").select(F.col("rep").alias("_rep")).distinct()
-    asked = docs.join(ids, F.col(f"`{key}`").cast("bigint").eqNullSafe(F.col("_rep")), "left_semi")
-    return cut_lineage(shingle_sets(asked, text, key, width).dropDuplicates(["cid"]))
+    used = cut_lineage(classes.select("cid", "rep").join(used, F.col("cid") == F.col("x"), "left_semi"))
+    asked = maybe_in(docs, F.col(f"`{key}`").cast("bigint"), used.select("rep"))
+    return cut_lineage(shingle_sets(asked, text, key, width).join(used.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]))
 
 
 def _components(docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
