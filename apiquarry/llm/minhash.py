@@ -11,7 +11,8 @@ bound), and what is left is verified on the whole sets, fetched for these classe
 
 Pairs are made in two rounds, so that a family of n copies does not make n² of them. First each
 class meets the leader of each of its lists: the class whose retained values occur most often in
-others, in a family mostly the text the others were made from. Verified links give components.
+others, in a family mostly the text the others were made from. Verified links give components, and what
+is left of long lists meets a few more leaders of their largest components.
 Then, in each list, classes outside the largest component meet the classes of other components. The
 classes of long lists meet by an index of their whole sets instead, in which each looks up its
 shingles that the leader lacks and that are rare, as many as leave a linked set no way to miss
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from apiquarry.llm.components import connected_components
@@ -49,8 +50,8 @@ PERCENT = 80
 LISTS, LEAST_SIZE = 3, 4
 #: In lists of more classes, pairs come from an index of the classes' whole sets.
 LONG_LIST = 64
-#: Ratio of the sizes in a band.
-BAND = 1.02
+#: Ratio of the sizes in a band, and further leaders that what is left of a long list meets.
+BAND, LEADERS = 1.007, 8
 #: Word hashes held at once by a task.
 WORD_CACHE = 400_000
 
@@ -194,8 +195,8 @@ def _leaders(lists: DataFrame) -> DataFrame:
 
 
 def _mixed_lists(lists: DataFrame, comps: DataFrame) -> DataFrame:
-    """Lists with several components: ``value, cid, n, comp, main, members``."""
-    named = lists.join(comps.toDF("cid", "comp"), "cid", "left").select("value", "cid", "n", F.coalesce("comp", "cid").alias("comp"))
+    """Lists with several components: ``value, cid, n, shared, comp, main, members``."""
+    named = lists.join(comps.toDF("cid", "comp"), "cid", "left").select("value", "cid", "n", "shared", F.coalesce("comp", "cid").alias("comp"))
     sizes = named.groupBy("value", "comp").agg(F.count("*").alias("own"))
     mixed = (
         sizes.groupBy("value")
@@ -206,6 +207,14 @@ def _mixed_lists(lists: DataFrame, comps: DataFrame) -> DataFrame:
     return named.join(mixed, "value")
 
 
+def _second_leaders(mixed: DataFrame) -> DataFrame:
+    """Pairs of what a long list's first leader left over with ``LEADERS`` members of its main component."""
+    order = Window.partitionBy("value").orderBy(F.desc("shared"), F.xxhash64("leader"))
+    main = mixed.filter("comp = main").select("value", F.col("cid").alias("leader"), "shared")
+    top = main.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= LEADERS)
+    return mixed.filter("comp <> main").select("value", "cid").join(top, "value").select(*_ordered("cid", "leader")).distinct()
+
+
 def _need(a: Column, b: Column) -> Column:
     """Least overlap of two linked sets with the given sizes."""
     return F.ceil((a + b) * float(PERCENT) / float(100 + PERCENT) - 1e-9)
@@ -263,6 +272,11 @@ def near_links(rows: DataFrame, docs: DataFrame, text: str, key: str, width: int
     first = cut_lineage(_likely(led, classes))
     links = cut_lineage(_verified(first, _sets_of(first, classes, docs, text, key, width)))
     mixed = cut_lineage(_mixed_lists(lists, connected_components(links)))
+    again = _second_leaders(mixed.filter(F.col("members") > LONG_LIST)).join(first.select("x", "y"), ["x", "y"], "left_anti")
+    again = cut_lineage(_likely(again, classes))
+    links = cut_lineage(links.unionByName(_verified(again, _sets_of(again, classes, docs, text, key, width))))
+    first = first.unionByName(again)
+    mixed = cut_lineage(_mixed_lists(lists, connected_components(links)))
     long, short = mixed.filter(F.col("members") > LONG_LIST), mixed.filter(F.col("members") <= LONG_LIST)
     sets = _sets_of(long.select(F.col("cid").alias("x"), F.col("cid").alias("y")), classes, docs, text, key, width)
     seen = first.select("x", "y")
