@@ -24,6 +24,7 @@ from __future__ import annotations
 import codecs
 import heapq
 import json
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -37,9 +38,11 @@ from pyspark.sql import types as T
 #: Fixed pattern of byte-level tokenizers of this kind.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces a task remembers, and the longest of them in characters.
-CACHE_PIECES, CACHE_LENGTH = 300_000, 64
+CACHE_PIECES, CACHE_LENGTH = 500_000, 64
 #: Ids that are decoded at a time.
 DECODE_IDS = 8192
+#: Ids are below 2^20.
+MASK, NO_MERGE = (1 << 20) - 1, 1 << 62
 #: Bytes of text per batch that a task returns.
 BATCH_BYTES = 4 << 20
 
@@ -65,28 +68,37 @@ class Bpe:
         for rank, (a, b) in enumerate(spec["model"]["merges"]):
             x, y = (ids[bytes(letters[c] for c in part)] for part in (a, b))
             self.merges[x, y] = (rank, ids[self.bytes_of[x] + self.bytes_of[y]])
+        # the same with a pair as one number, and rank and new id as one
+        self.joins = {x << 20 | y: rank << 20 | new for (x, y), (rank, new) in self.merges.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pieces = regex.compile(PIECES)
         self.lookahead = lookahead(self.merges, {i: len(b) for i, b in self.bytes_of.items()})
         self.longest = max(map(len, self.bytes_of.values()))
+        #: Bytes merged at a time; some token is final in every window.
+        self.window = 4 * (self.lookahead + self.longest)
 
     def merged(self, data: bytes) -> list[int]:
         """Ids of a window: the pair of the highest priority, the leftmost first, until none is left."""
         ids = [self.byte_ids[b] for b in data]
         if len(ids) > 256:
             return self._merged_long(ids)
-        merges = self.merges
-        while len(ids) > 1:
-            best, at, new = None, -1, -1
-            for i, pair in enumerate(zip(ids, ids[1:])):
-                found = merges.get(pair)
-                if found is not None and (best is None or found[0] < best):
-                    best, at, new = found[0], i, found[1]
-            if best is None:
+        get, last = self.joins.get, len(ids) - 1
+        ranks = [get(a << 20 | b, NO_MERGE) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == NO_MERGE:
                 break
+            at = ranks.index(best)
+            new = best & MASK
             ids[at : at + 2] = [new]
+            del ranks[at]
+            last -= 1
+            if at:
+                ranks[at - 1] = get(ids[at - 1] << 20 | new, NO_MERGE)
+            if at < last:
+                ranks[at] = get(new << 20 | ids[at + 1], NO_MERGE)
         return ids
 
     def _merged_long(self, ids: list[int]) -> list[int]:
@@ -110,7 +122,7 @@ class Bpe:
 
     def transduce(self, data: bytes, window: int | None = None) -> Iterator[int]:
         """Ids of one piece, emitted as soon as they are final."""
-        window = max(window or 0, 2 * self.lookahead + self.longest)
+        window = window or self.window
         start = 0
         while len(data) - start > window:
             end, emitted = 0, 0
@@ -147,7 +159,8 @@ class PieceCache(dict):
         self.bpe = bpe
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.fromiter(self.bpe.transduce(piece.encode("utf-8", "replace")), dtype=np.int32).tobytes()
+        data = piece.encode("utf-8", "replace")
+        ids = array("i", self.bpe.merged(data) if len(data) <= self.bpe.window else self.bpe.transduce(data)).tobytes()
         if len(piece) <= CACHE_LENGTH:
             if len(self) >= CACHE_PIECES:
                 self.clear()
