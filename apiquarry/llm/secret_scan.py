@@ -4,13 +4,13 @@ Everything is a column expression. The pattern spans (``assign``, ``access``, ``
 patterns below, leftmost first and not overlapping within a kind; matches that fail their length are
 dropped. Besides, every run of code-like characters that mixes letters and digits is a candidate of
 kind ``random``. Its alphabet is inferred from the characters in it, and three tests ask whether its
-characters could be independent uniform draws from it: chi-squared of the alphabet's parts, the number of
+characters could be independent uniform draws from it: chi-squared of its letters, the number of
 runs above and below the alphabet's middle, and the correlation of neighbours. The three normal scores
 are combined to one p-value.
 
 Ordinary tokens have p-values near 0, random ones uniform p-values. For each (alphabet, band of lengths)
 the upper half of the p-values therefore tells how many random tokens there are, and the threshold is
-the lowest at which no more than ``FALSE_SHARE`` of the tokens above it are in excess of that: a false
+the lowest, at most a half, at which no more than ``FALSE_SHARE`` of the tokens above it are in excess of that: a false
 discovery control that knows that short tokens pass the tests more easily. It is computed over all rows.
 
 Defined results: a NULL or empty text has no spans (the base digest is that of the empty string). Offsets
@@ -33,14 +33,14 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 KINDS = ("assign", "access", "hex", "random")
 #: Candidates of the battery.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-#: Inferred alphabets: name, pattern, letters in order, parts for the chi-squared test. The first that fits is taken.
+#: Inferred alphabets: name, pattern, letters in order. The first that fits is taken.
 ALPHABETS = (
-    ("hex", r"^[0-9a-f]+$", "0123456789abcdef", 8),
-    ("HEX", r"^[0-9A-F]+$", "0123456789ABCDEF", 8),
-    ("base32", r"^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 8),
-    ("base36", r"^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 6),
-    ("base64", r"^[A-Za-z0-9+/]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 8),
-    ("base64url", r"^[A-Za-z0-9_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 8),
+    ("hex", r"^[0-9a-f]+$", "0123456789abcdef"),
+    ("HEX", r"^[0-9A-F]+$", "0123456789ABCDEF"),
+    ("base32", r"^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("base36", r"^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    ("base64", r"^[A-Za-z0-9+/]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+    ("base64url", r"^[A-Za-z0-9_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
 #: Upper ends of the bands of lengths.
 BANDS = (24, 32, 48, 64, 128)
@@ -75,17 +75,17 @@ def _tail(z: Column) -> Column:
     return 1 / (1 + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), 0.07056 * z * z * z + 1.5976 * z))))
 
 
-def battery(codes: Column, letters: Column, cells: Column) -> Column:
+def battery(codes: Column, letters: Column) -> Column:
     """p-value of an array of places 1 … ``letters`` being independent and uniform.
 
-    Chi-squared over ``cells`` equal parts, runs above and below the middle, and neighbour correlation give
+    Chi-squared over the letters, runs above and below the middle, and neighbour correlation give
     one normal score each; the sum of their squares is chi-squared with three degrees of freedom
     (cube-root approximation).
     """
     n, steps = F.size(codes).cast("double"), (F.size(codes) - 1).cast("double")
-    parts = F.transform(F.sequence(F.lit(0), cells - 1), lambda j: F.size(F.filter(codes, lambda c: F.floor((c - 1) * cells / letters) == j)).cast("double"))
-    chi = F.aggregate(parts, F.lit(0.0), lambda total, x: total + x * x) * cells / n - n
-    uniform = (chi - (cells - 1)) / F.sqrt(2.0 * (cells - 1) * (n - 1) / n)
+    parts = F.transform(F.sequence(F.lit(1), letters.cast("int")), lambda j: F.size(F.filter(codes, lambda c: c == j)).cast("double"))
+    chi = F.aggregate(parts, F.lit(0.0), lambda total, x: total + x * x) * letters / n - n
+    uniform = (chi - (letters - 1)) / F.sqrt(2.0 * (letters - 1) * (n - 1) / n)
     pairs = F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     half, middle = letters / 2, (letters + 1) / 2
     changes = F.size(F.filter(pairs, lambda p: (p["a"] > half) != (p["b"] > half))).cast("double")
@@ -98,17 +98,17 @@ def battery(codes: Column, letters: Column, cells: Column) -> Column:
 
 def _tested(token: Column) -> Column:
     """``struct<alphabet, band, p>`` of a candidate; NULL p where no alphabet fits or letters or digits are missing."""
-    name, letters, cells = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("int")
-    for which, pattern, order, parts in reversed(ALPHABETS):
+    name, letters = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for which, pattern, order in reversed(ALPHABETS):
         fits = token.rlike(pattern)
-        name, letters, cells = F.when(fits, F.lit(which)).otherwise(name), F.when(fits, F.lit(order)).otherwise(letters), F.when(fits, F.lit(parts)).otherwise(cells)
+        name, letters = F.when(fits, F.lit(which)).otherwise(name), F.when(fits, F.lit(order)).otherwise(letters)
     body = F.rtrim(token, F.lit("="))
     codes = F.transform(F.split(body, ""), lambda c: F.position(c, letters))
     mixed = token.rlike("[0-9]") & token.rlike("[A-Za-z]") & (F.length(body) > 1)
     band = F.lit(len(BANDS))
     for i, end in reversed([*enumerate(BANDS)]):
         band = F.when(F.length(token) <= end, F.lit(i)).otherwise(band)
-    return F.struct(name.alias("alphabet"), band.alias("band"), F.when(mixed & name.isNotNull(), battery(codes, F.length(letters).cast("double"), cells)).alias("p"))
+    return F.struct(name.alias("alphabet"), band.alias("band"), F.when(mixed & name.isNotNull(), battery(codes, F.length(letters).cast("double"))).alias("p"))
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -140,15 +140,18 @@ def thresholds(scanned: DataFrame) -> dict[tuple[str, int], float]:
         groups.setdefault((alphabet, band), [0] * BINS)[place] = count
     out = {}
     for group, own in groups.items():
-        uniform = sum(own[BINS // 2 :]) / (BINS - BINS // 2)
-        above = 0
-        for place in range(BINS - 1, FLOOR - 1, -1):
+        half = BINS // 2
+        uniform = sum(own[half:]) / (BINS - half)
+        above = sum(own[half:])
+        if above:
+            out[group] = half / BINS
+        for place in range(half - 1, FLOOR - 1, -1):
             above += own[place]
             expected = uniform * (BINS - place)
             # what exceeds the flat share may be chance, too
             if above - expected > FALSE_SHARE * above + 2 * math.sqrt(expected):
                 break
-            if own[place]:
+            if above:
                 out[group] = place / BINS
     return out
 
