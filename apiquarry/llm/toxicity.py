@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from apiquarry.llm.labelled import held_out, labelled_texts
 from apiquarry.session import cut_lineage
 
-BITS = 20
+BITS = 19
 FIT_ROWS = 20_000
 SHARDS = 4
 ROUNDS = 8
@@ -98,11 +98,11 @@ def ftrl_pass(z: np.ndarray, n: np.ndarray, rows: list[np.ndarray], labels: np.n
         n[at] = grown
 
 
-def _passes(z: np.ndarray, n: np.ndarray):
-    """One pass over the rows of a partition, in their order; the state after it."""
+def _passes(state):
+    """One pass over the rows of a partition, in their order, from a broadcast state; the state after it."""
 
     def run(batches):
-        own_z, own_n, rows = z.copy(), n.copy(), 0
+        own_z, own_n, rows = *(x.copy() for x in state.value), 0
         for batch in batches:
             ftrl_pass(own_z, own_n, [np.asarray(x) for x in batch["grams"]], batch["y"].to_numpy())
             rows += len(batch)
@@ -122,7 +122,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: st
     z, n = np.zeros(size + 1, dtype=np.float32), np.zeros(size + 1, dtype=np.float32)
     for _ in range(ROUNDS):
         # SHARDS rows of 2^BITS numbers each, whatever the corpus
-        states = train.mapInPandas(_passes(z, n), "z binary, n binary").collect()
+        state = docs.sparkSession.sparkContext.broadcast((z, n))
+        states = train.mapInPandas(_passes(state), "z binary, n binary").collect()
+        state.destroy()
         if not states:
             return ToxicityModel(np.empty(0, dtype=np.int64), np.empty(0), 0.0)
         z = sum(np.frombuffer(s.z, dtype=np.float32) for s in states) / len(states)
