@@ -24,7 +24,7 @@ def main() -> None:
         "bench",
         master=f"local[{cpus}]",
         **{
-            "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "20g",
+            "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": os.environ.get("BENCH_MEMORY", "10g"),
             "spark.sql.shuffle.partitions": cpus,
         },
     )
