@@ -9,7 +9,7 @@ from apiquarry.functions.http import language_of
 from apiquarry.operators import collections, detect
 from apiquarry.plans.base import EX, exchanges, query, shared_folder, table
 from apiquarry.sources import files, openapi, raw_http
-from apiquarry.sources.history import read_history
+from apiquarry.sources.history import RedactedHistory, append_history, clear_history, history_rows, read_history
 from apiquarry.streaming import changes, ingest
 from apiquarry.streaming import runs as live
 
@@ -366,10 +366,29 @@ def _stream_of(spark, df, label):
     return spark.readStream.schema(df.schema).parquet(folder)
 
 
+def log_rows(spark, sf):
+    return exchanges(spark, sf).selectExpr("*", "CAST(NULL AS STRING) AS error", "'{}' AS draft", "'{}' AS request", "body AS response", "'send' AS source")
+
+
+@query("history_log", f"WITH {EX} SELECT project_id, count(*) AS entries, min(id) AS first_id FROM ex WHERE status IS NOT NULL GROUP BY 1")
+def history_log(spark, sf):
+    """One log: it is streamed to, cleared, and then filled half by a stream and half by the batch writer."""
+    rows = log_rows(spark, sf)
+    secrets = rows.select(P).distinct().selectExpr(P, "'h' AS name", "'api.example.com' AS value")
+    folder = shared_folder(spark, "log")
+    for label in ("first", "second"):
+        even = _stream_of(spark, rows.filter("id % 2 = 0"), f"feed-{label}")
+        ingest.ingest_history(even, secrets, folder, shared_folder(spark, f"state-{label}")).awaitTermination()
+        if label == "first":
+            clear_history(spark, folder)
+    append_history(RedactedHistory.of(history_rows(rows.filter("id % 2 = 1")), secrets), folder)
+    return read_history(spark, folder).groupBy(P).agg(F.count("*").alias("entries"), F.min("id").alias("first_id"))
+
+
 @query("ingest_history", f"""WITH {EX} SELECT project_id, count(*) AS entries, count(*) FILTER (WHERE contains(url, 'api.example.com')) AS leaked FROM (SELECT project_id, replace(url, 'api.example.com', '••••••') AS url FROM ex WHERE status IS NOT NULL) GROUP BY 1""")
 def ingest_history(spark, sf):
     """Every answered exchange through the streaming append, its host being a secret."""
-    rows = exchanges(spark, sf).selectExpr("*", "CAST(NULL AS STRING) AS error", "'{}' AS draft", "'{}' AS request", "body AS response", "'send' AS source")
+    rows = log_rows(spark, sf)
     secrets = rows.select(P).distinct().selectExpr(P, "'h' AS name", "'api.example.com' AS value")
     folder, state = shared_folder(spark, "log"), shared_folder(spark, "state")
     ingest.ingest_history(_stream_of(spark, rows, "feed"), secrets, folder, state).awaitTermination()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,27 +36,46 @@ def history_rows(exchanges: DataFrame) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
 class RedactedHistory:
-    """History rows that went through redaction; the only thing the writer takes."""
+    """History rows that went through redaction; the only thing the writer takes. Made by ``of`` alone."""
 
-    rows: DataFrame
+    __slots__ = ("rows",)
+
+    def __init__(self) -> None:
+        raise TypeError("use RedactedHistory.of")
 
     @classmethod
-    def of(cls, history: DataFrame, secrets: DataFrame) -> "RedactedHistory":
-        return cls(redact_history(history, secrets).select(*COLUMNS))
+    def of(cls, history: DataFrame, secrets: DataFrame) -> RedactedHistory:
+        """Rows without a project have no secrets to look for, so they stop the write."""
+        named = F.when(F.col(P).isNull(), F.raise_error(F.lit("a history row has no project"))).otherwise(F.col(P))
+        made = object.__new__(cls)
+        made.rows = redact_history(history.withColumn(P, named), secrets).select(*COLUMNS)
+        return made
+
 
+def append_history(redacted: RedactedHistory, path: str, batch: str | None = None) -> None:
+    """Append to the Parquet log at ``path``, partitioned by batch and day.
 
-def append_history(redacted: RedactedHistory, path: str) -> None:
-    """Append to a Parquet log partitioned by day, so a time range reads only its days."""
+    A batch is written into a folder of its own, which is replaced if it is written again: a stream names
+    it by its epoch, so a replay changes nothing, and batch and stream writers share one log.
+    """
     if not isinstance(redacted, RedactedHistory):
         raise TypeError("only redacted rows may be written")
     dated = redacted.rows.withColumn("date", F.to_date(F.timestamp_seconds("at")))
-    dated.write.mode("append").partitionBy("date").parquet(path)
+    dated.write.mode("overwrite").partitionBy("date").parquet(f"{path}/batch={batch or uuid.uuid4().hex}")
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """Every row of the log, whoever wrote it; a range of days reads only its days."""
+    return spark.read.parquet(path).drop("batch")
+
+
+def clear_history(spark: SparkSession, path: str) -> None:
+    """Remove every row; the log stays readable and can be appended to."""
+    schema = read_history(spark, path).drop("date").schema
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    spark.createDataFrame([], schema).coalesce(1).write.parquet(f"{path}/batch=none/date=1970-01-01")
 
 
 def recent(history: DataFrame, limit: int) -> DataFrame:

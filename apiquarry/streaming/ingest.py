@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from apiquarry.operators.traffic import check_allowed
@@ -13,33 +13,22 @@ from apiquarry.sources.history import RedactedHistory, append_history, history_r
 
 
 def ingest_history(exchanges: DataFrame, secrets: DataFrame, path: str, checkpoint: str, **trigger: object) -> StreamingQuery:
-    """Append every finished send, redacted, success or failure.
+    """Append every finished send, redacted, success or failure, with a static secret store."""
+    return ingest_history_batches(exchanges, lambda: secrets, path, checkpoint, **trigger)
 
-    A Parquet sink with a checkpoint writes each micro-batch exactly once. The secret store is
-    a static table joined by project.
-    """
-    redacted = RedactedHistory.of(history_rows(exchanges), secrets).rows
-    dated = redacted.withColumn("date", F.to_date(F.timestamp_seconds("at")))
-    return (
-        dated.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .partitionBy("date")
-        .outputMode("append")
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
 
+def ingest_history_batches(
+    exchanges: DataFrame, read_secrets: Callable[[], DataFrame], path: str, checkpoint: str, **trigger: object
+) -> StreamingQuery:
+    """The same with the secret store read afresh for each micro-batch, for stores that change while the
+    stream runs. Each epoch has its own folder in the log, so a replayed one is written once."""
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
-def ingest_history_batches(exchanges: DataFrame, read_secrets: Callable[[], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """The same with the secret store read afresh for each micro-batch, for stores that change
-    while the stream runs. A batch replayed after a failure is appended again."""
-
-    def write(batch: DataFrame, _epoch: int) -> None:
-        append_history(RedactedHistory.of(history_rows(batch), read_secrets()), path)
+    def write(batch: DataFrame, epoch: int) -> None:
+        append_history(RedactedHistory.of(history_rows(batch), read_secrets()), path, f"{stream}-{epoch}")
 
     return (
-        exchanges.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        exchanges.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )
 
 

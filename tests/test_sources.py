@@ -155,11 +155,22 @@ def test_history_stream_and_writer(spark):
     got = {r["id"]: r for r in back.collect()}
     assert set(got) == {1, 2} and "hush" not in str(got)
     assert got[2]["error"] == "bad ••••••" and got[2]["request"] == '{"d":1}'
-    try:
-        history.append_history(back, out)
-        raise AssertionError("unredacted rows were accepted")
-    except TypeError:
-        pass
+    for wrong in (lambda: history.append_history(back, out), lambda: history.RedactedHistory()):
+        try:
+            wrong()
+            raise AssertionError("unredacted rows were accepted")
+        except TypeError:
+            pass
+    # another stream adds its rows, a batch written again replaces itself, and both share the log
+    ingest.ingest_history_batches(_stream(spark, rows), lambda: secrets, out, tempfile.mkdtemp(prefix="aq-") + "/o").awaitTermination()
+    more = history.RedactedHistory.of(history.history_rows(rows.withColumn("id", F.col("id") + 10)), secrets)
+    history.append_history(more, out, "again")
+    history.append_history(more, out, "again")
+    assert sorted(r["id"] for r in history.read_history(spark, out).collect()) == [1, 1, 2, 2, 11, 12]
+    history.clear_history(spark, out)
+    assert history.read_history(spark, out).count() == 0
+    history.append_history(more, out)
+    assert history.read_history(spark, out).count() == 2
 
 
 def test_every_query_is_registered_once():
