@@ -18,12 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from apiquarry.llm.labelled import held_out, labelled_texts
+from apiquarry.llm.words import WordHashes
 from apiquarry.session import cut_lineage
 
 BITS = 19
@@ -32,26 +32,11 @@ SHARDS = 4
 ROUNDS = 8
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.01
 THRESHOLD = 0.5
-WORD_CACHE = 400_000
-_MARKS = ".,;:!?'\"()[]{}<>#$%&*+-/=@\\^_`|~"
 
 
-class _Words(dict):
-    """Spelling in a text → 64-bit hash of the normal form."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        plain = word.decode("utf-8", "replace").lower().strip(_MARKS)
-        value = self[word] = xxhash.xxh3_64_intdigest(plain) if plain else 0
-        return value
-
-
-def hashed_grams(data: bytes, words: dict[bytes, int]) -> np.ndarray:
+def hashed_grams(data: bytes, words: WordHashes) -> np.ndarray:
     """Distinct feature places of a whole text."""
-    parts = data.split()
-    h = np.fromiter(map(words.__getitem__, parts), dtype=np.uint64, count=len(parts))
-    h = h[h != 0]
+    h = words.of(data)
     with np.errstate(over="ignore"):
         pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
         skips = (h[:-2] * np.uint64(0x165667B19E3779F9)) ^ (h[2:] * np.uint64(0xD6E8FEB86659FD93))
@@ -61,7 +46,7 @@ def hashed_grams(data: bytes, words: dict[bytes, int]) -> np.ndarray:
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _grams(body: pd.Series) -> pd.Series:
-    words = _Words()
+    words = WordHashes()
     return body.map(lambda x: hashed_grams(bytes(x), words))
 
 
@@ -74,7 +59,7 @@ class ToxicityModel:
     def score(self, bodies: list[bytes]) -> np.ndarray:
         dense = np.zeros(1 << BITS, dtype=np.float32)
         dense[self.places] = self.weights
-        words = _Words()
+        words = WordHashes()
         margins = np.array([self.intercept + float(dense[hashed_grams(x, words)].sum()) for x in bodies])
         return 1 / (1 + np.exp(-np.clip(margins, -30, 30)))
 
