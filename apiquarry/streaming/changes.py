@@ -83,13 +83,16 @@ class EchoFilter(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self._last.get()[0] if self._last.exists() else None
         for batch in rows:
-            passed = []
-            for row in batch.sort_values("seq").itertuples(index=False):
-                if row.own_write:
-                    last = int(row.print)
-                elif last is None or int(row.print) != last:
-                    passed.append(row)
-            yield pd.DataFrame(passed, columns=batch.columns)[["project_id", "path", "removed", "seq"]]
+            ordered = batch.sort_values("seq")
+            prints = ordered["print"].astype("Int64")
+            # the own write that each row comes after
+            before = prints.where(ordered["own_write"]).ffill()
+            if last is not None:
+                before = before.fillna(last)
+            passed = ~ordered["own_write"].astype(bool) & (before.isna() | (prints != before)).astype(bool)
+            if len(before) and not pd.isna(before.iloc[-1]):
+                last = int(before.iloc[-1])
+            yield ordered.loc[passed, ["project_id", "path", "removed", "seq"]]
         if last is not None:
             self._last.update((last,))
 
