@@ -3,7 +3,9 @@
 Everything is a column expression. The pattern spans (``assign``, ``access``, ``hex``) are found by the
 patterns below, leftmost first and not overlapping within a kind; matches that fail their length are
 dropped. Besides, every run of code-like characters that mixes letters and digits is a candidate of
-kind ``random``. Its alphabet is inferred from the characters in it, and three tests ask whether its
+kind ``random``, with ``=`` only as the padding at its end, and so is every piece of it between slashes,
+plus signs, or hyphens and underscores: names, paths and prefixes stand beside tokens without a space. Of
+accepted candidates that overlap the longest stays. Its alphabet is inferred from the characters in it, and three tests ask whether its
 characters could be independent uniform draws from it: chi-squared of its letters, the number of
 runs above and below the alphabet's middle, and the correlation of neighbours. The three normal scores
 are combined to one p-value.
@@ -25,14 +27,16 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from apiquarry.functions.text import let
 from apiquarry.session import cut_lineage
 
 #: Fixed pattern; group 2 is the value. Those of the other kinds are in ``PATTERNS``.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 KINDS = ("assign", "access", "hex", "random")
-#: Candidates of the battery.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: Runs that hold the candidates of the battery; a candidate has ``SHORTEST`` characters with its padding.
+CANDIDATE = r"[A-Za-z0-9+/_-]{14,}(?:={1,6}(?![A-Za-z0-9+/_=-]))?"
+SHORTEST = 20
 #: Inferred alphabets: name, pattern, letters in order. The first that fits is taken.
 ALPHABETS = (
     ("hex", r"^[0-9a-f]+$", "0123456789abcdef"),
@@ -72,7 +76,7 @@ def _overlaps(a: Column, b: Column) -> Column:
 
 def _tail(z: Column) -> Column:
     """P(N > z) of a standard normal, to about 1e-4."""
-    return 1 / (1 + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), 0.07056 * z * z * z + 1.5976 * z))))
+    return let(z, lambda z: 1 / (1 + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), 0.07056 * z * z * z + 1.5976 * z)))))
 
 
 def battery(codes: Column, letters: Column) -> Column:
@@ -92,7 +96,7 @@ def battery(codes: Column, letters: Column) -> Column:
     runs = (changes - steps / 2) / F.sqrt(steps / 4)
     product = F.aggregate(pairs, F.lit(0.0), lambda total, p: total + (p["a"] - middle) * (p["b"] - middle))
     serial = product / F.sqrt(steps) / ((letters * letters - 1) / 12)
-    square = uniform * uniform + runs * runs + serial * serial
+    square = F.aggregate(F.array(uniform, runs, serial), F.lit(0.0), lambda total, z: total + z * z)
     return _tail((F.pow(square / 3, F.lit(1 / 3)) - (1 - 2 / 27)) / math.sqrt(2 / 27))
 
 
@@ -103,12 +107,45 @@ def _tested(token: Column) -> Column:
         fits = token.rlike(pattern)
         name, letters = F.when(fits, F.lit(which)).otherwise(name), F.when(fits, F.lit(order)).otherwise(letters)
     body = F.rtrim(token, F.lit("="))
-    codes = F.transform(F.split(body, ""), lambda c: F.position(c, letters))
+    which = F.struct(name.alias("name"), letters.alias("letters"))
     mixed = token.rlike("[0-9]") & token.rlike("[A-Za-z]") & (F.length(body) > 1)
     band = F.lit(len(BANDS))
     for i, end in reversed([*enumerate(BANDS)]):
         band = F.when(F.length(token) <= end, F.lit(i)).otherwise(band)
-    return F.struct(name.alias("alphabet"), band.alias("band"), F.when(mixed & name.isNotNull(), battery(codes, F.length(letters).cast("double"))).alias("p"))
+
+    def p(letters: Column) -> Column:
+        return let(F.transform(F.split(body, ""), lambda c: F.position(c, letters)), lambda codes: battery(codes, F.length(letters).cast("double")))
+
+    # bound by ``let``: inside a lambda an expression is computed as often as it is named
+    return let(which, lambda a: F.struct(a["name"].alias("alphabet"), band.alias("band"), F.when(mixed & a["name"].isNotNull(), p(a["letters"])).alias("p")))
+
+
+def _mixed(span: Column) -> Column:
+    return (F.length(span["found"]) >= SHORTEST) & span["found"].rlike("[0-9]") & span["found"].rlike("[A-Za-z]")
+
+
+def _cut(span: Column, mark: str) -> Column:
+    """Pieces of a span between the characters ``mark`` that can be candidates: ``_SPANS``."""
+
+    def step(done: Column, piece: Column) -> Column:
+        stop = done["at"] + F.length(piece)
+        own = F.struct(done["at"].alias("start"), stop.alias("stop"), piece.alias("found"))
+        return F.struct((stop + 1).alias("at"), F.when(_mixed(own), F.concat(done["out"], F.array(own))).otherwise(done["out"]).alias("out"))
+
+    start = F.struct(span["start"].alias("at"), F.array().cast(_SPANS).alias("out"))
+    return F.aggregate(F.split(span["found"], mark, -1), start, step, lambda done: done["out"])
+
+
+def _pieces(runs: DataFrame, name: str) -> DataFrame:
+    """Runs in ``name``, and their pieces: cut at slashes, then at plus signs, then at hyphens and underscores, or at these only."""
+
+    def cut(spans: str, mark: str, whole: bool) -> Column:
+        return F.flatten(F.transform(spans, lambda s: F.when(s["found"].rlike(mark), _cut(s, mark)).otherwise(F.array(s) if whole else F.array().cast(_SPANS))))
+
+    out = runs.withColumn(name, F.filter(name, _mixed))
+    out = out.withColumns({"c1": cut(name, "/", True), "n1": cut(name, "/", False), "n4": F.filter(cut(name, "[_-]", False), lambda s: s["found"].rlike("[+/]"))})
+    out = out.withColumns({"c2": cut("c1", r"\+", True), "n2": cut("c1", r"\+", False)}).withColumn("n3", cut("c2", "[_-]", False))
+    return out.withColumn(name, F.concat(name, "n1", "n2", "n3", "n4")).drop("c1", "c2", "n1", "n2", "n3", "n4")
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -123,7 +160,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         return F.transform(f"s{i}", lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("order"), s["stop"].alias("stop")))
 
     based = placed.select("doc_id", F.array_sort(F.concat(spans(0), spans(1), spans(2))).alias("base"), "s3")
-    free = based.withColumn("s3", F.filter("s3", lambda c: ~F.exists("base", lambda b: _overlaps(b, c))))
+    free = _pieces(based, "s3").withColumn("s3", F.filter("s3", lambda c: ~F.exists("base", lambda b: _overlaps(b, c))))
     tested = F.transform("s3", lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), _tested(c["found"]).alias("t")))
     return free.select("doc_id", "base", F.filter(tested, lambda c: c["t"]["p"].isNotNull()).alias("tested"))
 
@@ -165,7 +202,9 @@ def secret_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
         t = c["t"]
         return F.coalesce(*[F.when((t["alphabet"] == a) & (t["band"] == b), t["p"] >= p) for (a, b), p in sorted(taken.items())], F.lit(False))
 
-    random = F.transform(F.filter("tested", passes), lambda c: F.struct(c["start"].alias("start"), F.lit(KINDS.index("random")).alias("order"), c["stop"].alias("stop")))
+    longest = F.array_sort(F.transform(F.filter("tested", passes), lambda c: F.struct((c["start"] - c["stop"]).alias("less"), c["start"].alias("start"), c["stop"].alias("stop"))))
+    apart = F.aggregate(longest, F.array().cast("array<struct<less:int,start:int,stop:int>>"), lambda kept, c: F.when(F.exists(kept, lambda k: _overlaps(k, c)), kept).otherwise(F.concat(kept, F.array(c))))
+    random = F.transform(apart, lambda c: F.struct(c["start"].alias("start"), F.lit(KINDS.index("random")).alias("order"), c["stop"].alias("stop")))
     return scanned.select("doc_id", "base", F.array_sort(F.concat("base", random)).alias("spans"))
 
 

@@ -143,6 +143,38 @@ def test_random_tokens_are_told_from_ordinary_ones(spark):
     assert secret_scan.secret_digests(cases.odd(spark)).count() == len(cases.ROWS)
 
 
+def tokens(seed, letters, length, count):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(letters) for _ in range(length)) for _ in range(count)]
+
+
+AROUND = ["ACCESS_KEY={}", "GET /x?sig={}&b=1", "https://host/cb-1/{}", "some_long_prefix_name_1/{}/b-c", "a+b-c/{}==", "key: {}", "x=={}", "https://host/a-b?c=1&d={}/e_f"]
+
+
+def test_tokens_beside_names_and_paths_are_tested(spark):
+    secrets = tokens(6, string.ascii_letters + string.digits, 40, 240)
+    docs = spark.createDataFrame([(i, f"see {AROUND[i % len(AROUND)].format(t)} here") for i, t in enumerate(secrets)], "doc_id bigint, text string").coalesce(1)
+    scanned = {r.doc_id: {(c["start"], c["stop"]) for c in r.tested} for r in secret_scan.scan(docs).collect()}
+    for i in range(len(secrets)):
+        around = AROUND[i % len(AROUND)]
+        place = len("see ") + around.index("{}")
+        assert (place, place + (42 if around.endswith("==") else 40)) in scanned[i]
+    counts = collections.Counter()
+    for r in secret_scan.secret_digests(docs).collect():
+        assert r.n_random <= 1
+        counts[AROUND[r.doc_id % len(AROUND)]] += r.n_random
+    assert all(counts[a] >= 24 for a in AROUND)
+
+
+def test_pieces_of_a_run(spark):
+    a, b, c = (tokens(i, string.ascii_lowercase + "0123456789", 22, 1)[0][:-2] + "a1" for i in range(3))
+    text = f"{a}/{b}+{c}_x {a}_{b}/{c}== {a}="
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    got = [text[x["start"]:x["stop"]] for x in secret_scan.scan(docs).first().tested]
+    # what mixes both pairs of marks fits no alphabet
+    assert sorted(got) == sorted([a, b, f"{c}_x", c, f"{a}/{b}+{c}", f"{a}_{b}", f"{c}==", a, b, f"{b}/{c}==", f"{a}="])
+
+
 # --- search
 
 
