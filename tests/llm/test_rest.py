@@ -175,6 +175,18 @@ def test_pieces_of_a_run(spark):
     assert sorted(got) == sorted([a, b, f"{c}_x", c, f"{a}/{b}+{c}", f"{a}_{b}", f"{c}==", a, b, f"{b}/{c}==", f"{a}="])
 
 
+def test_random_tokens_of_each_encoding_pass(spark):
+    lower, upper, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    encodings = {"hex": digits + "abcdef", "HEX": digits + "ABCDEF", "base32": upper + "234567", "base36": digits + lower, "BASE36": digits + upper, "base62": upper + lower + digits, "base64": upper + lower + digits + "+/", "base64url": upper + lower + digits + "-_"}
+    rows = [(f"{name} {n}", t) for i, (name, letters) in enumerate(encodings.items()) for n in (32, 64, 128, 1000) for t in tokens(i * 7 + n, letters, n, 60) if name != "hex"]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").coalesce(4)
+    passed, all_of = collections.Counter(), collections.Counter(k for k, _ in rows)
+    for r in secret_scan.scan(docs).collect():
+        passed[r.doc_id] += any(c["t"]["p"] >= 0.05 and c["start"] == 0 and c["stop"] == int(r.doc_id.split()[1]) for c in r.tested)
+    # p-values below 0.05 are a twentieth of those of random tokens, and a little more
+    assert all(passed[k] >= 0.8 * all_of[k] for k in all_of), passed
+
+
 # --- search
 
 
