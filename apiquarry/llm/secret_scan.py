@@ -11,9 +11,11 @@ runs above and below the alphabet's middle, and the correlation of neighbours. T
 are combined to one p-value.
 
 Ordinary tokens have p-values near 0, random ones uniform p-values. For each (alphabet, band of lengths)
-the upper half of the p-values therefore tells how many random tokens there are, and the threshold is
-the lowest, at most a half, at which no more than ``FALSE_SHARE`` of the tokens above it are in excess of that: a false
-discovery control that knows that short tokens pass the tests more easily. It is computed over all rows.
+the upper quarter of the p-values therefore tells how many random tokens there are, and, once the quarter
+below it has passed, the upper half. The threshold is the lowest at which no more than ``FALSE_SHARE`` of the
+tokens above it are in excess of that: a false discovery control that knows that short tokens pass the tests
+more easily. It is computed over the distinct tokens of all rows, as copies of one say nothing new. The
+upper quarter is what the others are measured by, so nothing measures it.
 
 Defined results: a NULL or empty text has no spans (the base digest is that of the empty string). Offsets
 count code points, ends are exclusive. Candidates that overlap a pattern span are left out. Repeated rows
@@ -98,6 +100,9 @@ def battery(codes: Column, letters: Column) -> Column:
     runs = (changes - steps / 2) / F.sqrt(steps / 4)
     product = F.aggregate(pairs, F.lit(0.0), lambda total, p: total + (p["a"] - middle) * (p["b"] - middle))
     serial = product / F.sqrt(steps) / ((letters * letters - 1) / 12)
+    # changes of side and products of neighbours go together; what is left of the products does not
+    shared = 0.75 * letters * letters / (letters * letters - 1)
+    serial = (serial + shared * runs) / F.sqrt(1 - shared * shared)
     square = F.aggregate(F.array(uniform, runs, serial), F.lit(0.0), lambda total, z: total + z * z)
     return _tail((F.pow(square / 3, F.lit(1 / 3)) - (1 - 2 / 27)) / math.sqrt(2 / 27))
 
@@ -163,7 +168,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
 
     based = placed.select("doc_id", F.array_sort(F.concat(spans(0), spans(1), spans(2))).alias("base"), "s3")
     free = _pieces(based, "s3").withColumn("s3", F.filter("s3", lambda c: ~F.exists("base", lambda b: _overlaps(b, c))))
-    tested = F.transform("s3", lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), _tested(c["found"]).alias("t")))
+    tested = F.transform("s3", lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), F.xxhash64(c["found"]).alias("hash"), _tested(c["found"]).alias("t")))
     return free.select("doc_id", "base", F.filter(tested, lambda c: c["t"]["p"].isNotNull()).alias("tested"))
 
 
@@ -172,26 +177,33 @@ def thresholds(scanned: DataFrame) -> dict[tuple[str, int], float]:
 
     The counts that are fetched are at most alphabets × bands × bins.
     """
-    tests = scanned.select(F.explode("tested").alias("c")).select("c.t.*")
-    counts = tests.groupBy("alphabet", "band", F.least(F.lit(BINS - 1), F.floor(F.col("p") * BINS)).alias("bin")).count().collect()
+    tests = scanned.select(F.explode("tested").alias("c")).select("c.t.alphabet", "c.t.band", F.least(F.lit(BINS - 1), F.floor(F.col("c.t.p") * BINS)).alias("bin"), "c.hash")
+    # the distinct tokens are dealt by all four columns, so copies of one are combined before they move
+    counts = tests.distinct().groupBy("alphabet", "band", "bin").count().collect()
     groups: dict[tuple[str, int], list[int]] = {}
     for alphabet, band, place, count in counts:
         groups.setdefault((alphabet, band), [0] * BINS)[place] = count
-    out = {}
-    for group, own in groups.items():
-        half = BINS // 2
-        uniform = sum(own[half:]) / (BINS - half)
-        above = sum(own[half:])
+    return {group: least / BINS for group, own in groups.items() if (least := _least_bin(own)) is not None}
+
+
+def _least_bin(own: list[int]) -> int | None:
+    """Lowest bin taken of the counts of distinct tokens per bin; None where none is."""
+    quarter, half = BINS * 3 // 4, BINS // 2
+    above, out = sum(own[quarter:]), None
+    uniform, known = above / (BINS - quarter), above
+    if above:
+        out = quarter
+    for place in range(quarter - 1, FLOOR - 1, -1):
+        if place == half - 1:
+            uniform, known = above / (BINS - half), above
+        above += own[place]
+        expected = uniform * (BINS - place)
+        # what exceeds the flat share may be chance, too, of these counts and of those the share is from
+        chance = math.sqrt(expected + (expected * expected / known if known else 0))
+        if above - expected > FALSE_SHARE * above + 2 * chance:
+            break
         if above:
-            out[group] = half / BINS
-        for place in range(half - 1, FLOOR - 1, -1):
-            above += own[place]
-            expected = uniform * (BINS - place)
-            # what exceeds the flat share may be chance, too
-            if above - expected > FALSE_SHARE * above + 2 * math.sqrt(expected):
-                break
-            if above:
-                out[group] = place / BINS
+            out = place
     return out
 
 

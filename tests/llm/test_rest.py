@@ -187,6 +187,35 @@ def test_random_tokens_of_each_encoding_pass(spark):
     assert all(passed[k] >= 0.8 * all_of[k] for k in all_of), passed
 
 
+def test_copies_of_a_token_count_once(spark):
+    secrets = tokens(11, string.ascii_letters + string.digits, 40, 100)
+    p_of = {r.doc_id: r.tested[0]["t"]["p"] for r in secret_scan.scan(spark.createDataFrame([(i, t) for i, t in enumerate(secrets)], "doc_id bigint, text string")).collect()}
+    low, high = (next(i for i in sorted(p_of) if a < p_of[i] < b) for a, b in ((0.3, 0.45), (0.8, 0.9)))
+    plain = secret_scan.thresholds(secret_scan.scan(spark.createDataFrame([(i, t) for i, t in enumerate(secrets)], "doc_id bigint, text string")))
+    for copied in (low, high):
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(secrets + [secrets[copied]] * 3000)], "doc_id bigint, text string")
+        assert secret_scan.thresholds(secret_scan.scan(docs)) == plain
+
+
+def test_upper_half_is_measured_by_the_upper_quarter():
+    flat = secret_scan._least_bin([5000] + [100] * 19)
+    assert flat == secret_scan.FLOOR
+    # ordinary tokens with p-values up to 0.75
+    assert secret_scan._least_bin([9000] * 15 + [100] * 5) == 15
+    assert secret_scan._least_bin([9000] * 11 + [100] * 9) == 11
+    # one ordinary token, and groups of a few random ones
+    assert secret_scan._least_bin([0] * 6 + [40] + [0] * 13) is None and secret_scan._least_bin([0] * 20) is None
+    assert secret_scan._least_bin([2] * 20) == secret_scan.FLOOR
+
+
+@pytest.mark.parametrize("letters, length", [(16, 20), (36, 32), (62, 24), (64, 128)])
+def test_p_values_of_random_tokens_are_flat(spark, letters, length):
+    codes = np.random.default_rng(3).integers(1, letters + 1, (4000, length)).tolist()
+    got = spark.createDataFrame([(c,) for c in codes], "c array<int>").select(secret_scan.battery(F.col("c"), F.lit(float(letters))).alias("p")).toPandas()["p"]
+    quarters = np.histogram(got, 4, (0, 1))[0] / 1000
+    assert (abs(quarters - 1) < 0.12).all(), quarters
+
+
 # --- search
 
 
