@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from apiquarry.llm import bpe, exact_dedup, language, minhash, mixing, quality, reversed_search, search, secret_scan, token_counts, toxicity
+from apiquarry.llm import bpe, conversations, exact_dedup, language, minhash, mixing, quality, reversed_search, search, secret_scan, token_counts, toxicity
 from apiquarry.llm.tokenizer_files import byte_bpe
 from apiquarry.plans.base import shared_folder
 
@@ -112,3 +112,8 @@ score AS (
  FROM tf JOIN weight USING (term) JOIN q USING (term), total GROUP BY item_id, doc_id),
 ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM score WHERE score > 0)
 SELECT * FROM ranked WHERE rank <= 10"""
+
+
+@query
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
