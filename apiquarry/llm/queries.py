@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from apiquarry.llm import bpe, conversations, exact_dedup, language, minhash, mixing, quality, reversed_search, search, secret_scan, token_counts, toxicity
+from apiquarry.llm import bpe, conversations, exact_dedup, language, minhash, mixing, quality, quality_rules, reversed_search, search, secret_scan, token_counts, toxicity
 from apiquarry.llm.tokenizer_files import byte_bpe
 from apiquarry.plans.base import shared_folder
 
@@ -117,3 +117,9 @@ SELECT * FROM ranked WHERE rank <= 10"""
 @query
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+@query
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality_rules.judged(table(spark, sf_dir, "documents")).select(*counts)
