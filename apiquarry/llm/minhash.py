@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from apiquarry.llm.components import connected_components
+from apiquarry.llm.components import connected_components, join_components
 from apiquarry.llm.rows import maybe_in, pick_rows
 from apiquarry.session import cut_lineage
 
@@ -261,8 +261,8 @@ def _long_pairs(mixed: DataFrame, leaders: DataFrame, sets: DataFrame) -> DataFr
     return met.select(*_ordered("a_cid", "cid")).distinct()
 
 
-def near_links(rows: DataFrame, docs: DataFrame, text: str, key: str, width: int) -> tuple[DataFrame, DataFrame]:
-    """Links ``x, y`` between classes that connect all similar ones, and the classes."""
+def near_components(rows: DataFrame, docs: DataFrame, text: str, key: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """``node, comp`` of the classes that are linked with others, and the classes."""
     classes = cut_lineage(
         rows.filter("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.first("sketch").alias("sketch"))
     )
@@ -270,20 +270,19 @@ def near_links(rows: DataFrame, docs: DataFrame, text: str, key: str, width: int
     leaders = cut_lineage(_leaders(lists))
     led = lists.join(leaders, "value").filter("cid <> leader").select(*_ordered("cid", "leader")).distinct()
     first = cut_lineage(_likely(led, classes))
-    links = cut_lineage(_verified(first, _sets_of(first, classes, docs, text, key, width)))
-    mixed = cut_lineage(_mixed_lists(lists, connected_components(links)))
+    comps = connected_components(_verified(first, _sets_of(first, classes, docs, text, key, width)))
+    mixed = cut_lineage(_mixed_lists(lists, comps))
     again = _second_leaders(mixed.filter(F.col("members") > LONG_LIST)).join(first.select("x", "y"), ["x", "y"], "left_anti")
     again = cut_lineage(_likely(again, classes))
-    links = cut_lineage(links.unionByName(_verified(again, _sets_of(again, classes, docs, text, key, width))))
-    first = first.unionByName(again)
-    mixed = cut_lineage(_mixed_lists(lists, connected_components(links)))
+    comps = join_components(comps, _verified(again, _sets_of(again, classes, docs, text, key, width)))
+    seen = first.unionByName(again).select("x", "y")
+    # what the first rounds joined does not come back, so only lists that were mixed can be mixed
+    mixed = cut_lineage(_mixed_lists(mixed.select(*lists.columns), comps))
     long, short = mixed.filter(F.col("members") > LONG_LIST), mixed.filter(F.col("members") <= LONG_LIST)
     sets = _sets_of(long.select(F.col("cid").alias("x"), F.col("cid").alias("y")), classes, docs, text, key, width)
-    seen = first.select("x", "y")
     near = _likely(_short_pairs(short).join(seen, ["x", "y"], "left_anti"), classes).select("x", "y")
     second = cut_lineage(near.unionByName(_long_pairs(long, leaders, sets).join(seen, ["x", "y"], "left_anti")).distinct())
-    more = _verified(second, _sets_of(second, classes, docs, text, key, width))
-    return cut_lineage(links.unionByName(more)), classes
+    return join_components(comps, _verified(second, _sets_of(second, classes, docs, text, key, width))), classes
 
 
 def _sets_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
@@ -297,8 +296,7 @@ def _sets_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, k
 def _components(docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
     """``doc_id, digest, n, component_id`` per row."""
     rows = cut_lineage(sketches(docs, text, key, width))
-    links, classes = near_links(rows, docs, text, key, width)
-    comps = connected_components(links)
+    comps, classes = near_components(rows, docs, text, key, width)
     joined = classes.select("cid", "rep", "members").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     joined = cut_lineage(joined)
     least = joined.groupBy("comp").agg(F.min("rep").alias("component_id"))
