@@ -252,6 +252,10 @@ def resolve_go_symbols(refs: DataFrame, declared: DataFrame, bindings: DataFrame
     """Go references: the file, then its package (directory), then an imported package.
 
     ``exports`` must be the raw rows with ``seq``: the last alias of a package wins.
+
+    Aliases may stand for longer names, even for names that begin with themselves. A name with more parts than
+    any router or alias of its package can only have its head replaced, which never shortens it, so it leads
+    nowhere; shorter names are finitely many, and one met before ends the chain. Every chain thus ends by itself.
     """
     go = language_of(F.col("module")) == "go"
     refs = refs.filter(go).select(P, "module", "name").distinct()
@@ -267,6 +271,8 @@ def resolve_go_symbols(refs: DataFrame, declared: DataFrame, bindings: DataFrame
         ["seq"],
     ).drop("seq")
     aliases = cut_lineage(aliases.filter("alias <> look"))
+    parts = F.size(F.split("look", r"\."))
+    longest = routers.select(P, "pkg", "look").unionByName(aliases.select(P, "pkg", "look")).groupBy(P, "pkg").agg(F.max(parts).alias("longest"))
 
     here = symbols.withColumn("_here", F.lit(True))
     first = F.substring_index("name", ".", 1)
@@ -289,20 +295,19 @@ def resolve_go_symbols(refs: DataFrame, declared: DataFrame, bindings: DataFrame
         )
     )
     settled = state.filter("sym_module is not null").select(P, "module", "name", "sym_module", "sym_name")
-    open_ = cut_lineage(state.filter("sym_module is null"))
+    open_ = cut_lineage(state.filter("sym_module is null").drop("sym_module", "sym_name").join(longest, [P, "pkg"], "left"))
+    heads = aliases.select(P, "pkg", F.col("look").alias("_head"), F.col("alias").alias("_head_alias"))
     while not open_.isEmpty():
-        heads = aliases.select(P, "pkg", F.col("look").alias("_head"), F.col("alias").alias("_head_alias"))
-        looked = cut_lineage(
-            open_.drop("sym_module", "sym_name")
-            .join(routers, [P, "pkg", "look"], "left")
+        met = (
+            open_.join(routers, [P, "pkg", "look"], "left")
             .join(aliases, [P, "pkg", "look"], "left")
             .withColumn("_head", F.substring_index("look", ".", 1))
             .join(heads, [P, "pkg", "_head"], "left")
         )
         tail = F.when(F.contains(F.col("look"), F.lit(".")), F.regexp_replace("look", r"^[^.]*", "")).otherwise("")
         moved = F.coalesce(F.col("alias"), F.concat(F.col("_head_alias"), tail))
-        # an alias met before leads nowhere: the reference keeps its local name
-        ends = moved.isNull() | F.array_contains("seen", moved)
+        looked = cut_lineage(met.select(P, "module", "name", "pkg", "longest", "look", "seen", "r_module", moved.alias("moved")))
+        ends = F.col("moved").isNull() | F.array_contains("seen", F.col("moved")) | (F.size(F.split("moved", r"\.")) > F.col("longest"))
         settled = settled.unionByName(
             looked.filter(F.col("r_module").isNotNull() | ends).select(
                 P,
@@ -312,12 +317,8 @@ def resolve_go_symbols(refs: DataFrame, declared: DataFrame, bindings: DataFrame
                 F.when(F.col("r_module").isNotNull(), F.col("look")).otherwise(F.col("name")).alias("sym_name"),
             )
         )
-        open_ = cut_lineage(
-            looked.filter(F.col("r_module").isNull() & ~ends).select(
-                P, "module", "name", "pkg", moved.alias("look"),
-                F.lit(None).cast("string").alias("sym_module"), F.lit(None).cast("string").alias("sym_name"),
-                F.concat("seen", F.array(F.col("look"))).alias("seen"),
-            )
+        open_ = looked.filter(F.col("r_module").isNull() & ~ends).select(
+            P, "module", "name", "pkg", F.col("moved").alias("look"), F.concat("seen", F.array(F.col("look"))).alias("seen"), "longest"
         )
     return settled
 

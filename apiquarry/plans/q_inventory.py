@@ -353,18 +353,27 @@ def resolve_symbols(spark, sf):
 
 @query(
     "resolve_go_symbols",
-    """SELECT s_suppkey AS k, CASE s_suppkey % 4 WHEN 0 THEN 'svc' || s_suppkey || '/routes.go' WHEN 1 THEN 'lib' || s_suppkey || '/api.go' WHEN 2 THEN 'lib' || s_suppkey || '/api.go' ELSE 'svc' || s_suppkey || '/main.go' END AS sym_module,
- CASE s_suppkey % 4 WHEN 0 THEN 'r' WHEN 1 THEN 'Register' WHEN 2 THEN 'Handler.Routes' ELSE 'gone.Thing' END AS sym_name FROM supplier""",
+    """SELECT s_suppkey AS k, CASE s_suppkey % 6 WHEN 0 THEN 'svc' || s_suppkey || '/routes.go' WHEN 1 THEN 'lib' || s_suppkey || '/api.go' WHEN 2 THEN 'lib' || s_suppkey || '/api.go'
+  WHEN 5 THEN 'lib' || s_suppkey || '/api.go' ELSE 'svc' || s_suppkey || '/main.go' END AS sym_module,
+ CASE s_suppkey % 6 WHEN 0 THEN 'r' WHEN 1 THEN 'Register' WHEN 2 THEN 'Handler.Routes' WHEN 3 THEN 'gone.Thing' WHEN 4 THEN 'lib.Self.Routes' ELSE 'Handler.Routes' END AS sym_name FROM supplier""",
 )
 def resolve_go_symbols(spark, sf):
+    """Routers of the own and of imported packages; one alias begins with itself, others form a chain of twenty."""
     base = table(spark, sf, "supplier").selectExpr("concat('n', s_nationkey) AS project_id", "s_suppkey AS k", "concat('svc', s_suppkey, '/main.go') AS module")
     declared = base.selectExpr(
-        P, "CASE WHEN k % 4 = 0 THEN concat('svc', k, '/routes.go') ELSE concat('lib', k, '/api.go') END AS module",
-        "CASE k % 4 WHEN 0 THEN 'r' WHEN 1 THEN 'Register' WHEN 2 THEN 'Handler.Routes' ELSE 'Other' END AS name",
+        P, "CASE WHEN k % 6 = 0 THEN concat('svc', k, '/routes.go') ELSE concat('lib', k, '/api.go') END AS module",
+        "CASE k % 6 WHEN 0 THEN 'r' WHEN 1 THEN 'Register' WHEN 3 THEN 'Other' ELSE 'Handler.Routes' END AS name",
     )
     bindings = base.selectExpr(P, "module", "'lib' AS local_name", "'module' AS kind", "concat('lib', k) AS target_module", "CAST(NULL AS STRING) AS target_name")
-    exports = base.selectExpr(P, "k AS seq", "concat('lib', k, '/new.go') AS module", "'NewHandler' AS exported", "'Handler' AS local")
-    refs = base.selectExpr(P, "k", "module", "CASE k % 4 WHEN 0 THEN 'r' WHEN 1 THEN 'lib.Register' WHEN 2 THEN 'lib.NewHandler.Routes' ELSE 'gone.Thing' END AS name")
+    aliases = base.selectExpr(
+        P, "k", "explode(concat(array(struct('NewHandler' AS exported, 'Handler' AS local), struct('Self' AS exported, 'Self.Inner' AS local)), "
+        "transform(sequence(0, 19), i -> struct(concat('Hop', i) AS exported, IF(i = 19, 'Handler', concat('Hop', i + 1)) AS local)))) AS a",
+    )
+    exports = aliases.selectExpr(P, "k AS seq", "concat('lib', k, '/new.go') AS module", "a.exported", "a.local")
+    refs = base.selectExpr(
+        P, "k", "module",
+        "CASE k % 6 WHEN 0 THEN 'r' WHEN 1 THEN 'lib.Register' WHEN 2 THEN 'lib.NewHandler.Routes' WHEN 3 THEN 'gone.Thing' WHEN 4 THEN 'lib.Self.Routes' ELSE 'lib.Hop0.Routes' END AS name",
+    )
     got = linking.resolve_go_symbols(refs, declared, bindings, exports)
     return refs.join(got, [P, "module", "name"]).select("k", "sym_module", "sym_name")
 
