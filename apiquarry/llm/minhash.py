@@ -208,11 +208,15 @@ def _mixed_lists(lists: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _second_leaders(mixed: DataFrame) -> DataFrame:
-    """Pairs of what a long list's first leader left over with ``LEADERS`` members of its main component."""
+    """Pairs of what the first leaders left over with ``LEADERS`` members of the main component of its longest list.
+
+    The lists of a family have much the same leaders, so one of them is enough; what it leaves is met later.
+    """
     order = Window.partitionBy("value").orderBy(F.desc("shared"), F.xxhash64("leader"))
     main = mixed.filter("comp = main").select("value", F.col("cid").alias("leader"), "shared")
     top = main.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= LEADERS)
-    return mixed.filter("comp <> main").select("value", "cid").join(top, "value").select(*_ordered("cid", "leader")).distinct()
+    longest = mixed.filter("comp <> main").groupBy("cid").agg(F.max_by("value", F.struct("members", "value")).alias("value"))
+    return longest.join(top, "value").select(*_ordered("cid", "leader")).distinct()
 
 
 def _need(a: Column, b: Column) -> Column:
