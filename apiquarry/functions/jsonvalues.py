@@ -6,11 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from apiquarry.functions.http import header_value
-from apiquarry.functions.text import json_escaped, let, strip
-
-# Limits of a response shape.
-PATH_LIMIT = 400
-ARRAY_SAMPLE = 3
+from apiquarry.functions.text import let, strip
 
 _STEP = r'\[\s*("[^\]]*"|\+?\d+)\s*\]|([^.\[]+)'
 _WHOLE = r'^\$?(?:\.(?=[^.\[])|\[\s*(?:"[^\]]*"|\+?\d+)\s*\]|[^.\[]+)*$'
@@ -168,121 +164,3 @@ def holds(op: Column, actual: Column, expected: Column) -> Column:
         actual.alias("x"), expected.alias("y"), number_of(actual).alias("a"), number_of(expected).alias("b")
     )
     return let(values, compare)
-
-
-_NODE = "struct<ord:array<int>,path:string,node:variant,json:string>"
-
-
-def _key_step(key: Column) -> Column:
-    plain = key.rlike(r"^[A-Za-z_][A-Za-z0-9_-]*$")
-    return F.when(plain, F.concat(F.lit("."), key)).otherwise(
-        F.concat(F.lit('["'), json_escaped(key), F.lit('"]'))
-    )
-
-
-def _children(n: Column) -> Column:
-    """Children of one node in document order; arrays show their first elements only."""
-    kind = F.schema_of_variant(n["node"])
-    keys = F.json_object_keys(n["json"])
-    # A script engine lists integer-like keys first, in numeric order.
-    whole = F.transform(F.filter(keys, lambda k: k.rlike(r"^(0|[1-9]\d{0,8})$")), lambda k: k.cast("int"))
-    ordered = F.concat(
-        F.transform(F.array_sort(whole), lambda k: k.cast("string")),
-        F.filter(keys, lambda k: ~k.rlike(r"^(0|[1-9]\d{0,8})$")),
-    )
-
-    def member(key: Column, i: Column) -> Column:
-        node = F.call_function(
-            "try_variant_get", n["node"], F.concat(F.lit('$["'), key, F.lit('"]')), F.lit("variant")
-        )
-        text = F.coalesce(
-            _json_text(n["json"], F.concat(F.lit("$['"), key, F.lit("']"))), F.to_json(node)
-        )
-        path = F.when(n["path"] == "", F.regexp_replace(_key_step(key), r"^\.", "")).otherwise(
-            F.concat(n["path"], _key_step(key))
-        )
-        return F.struct(
-            F.concat(n["ord"], F.array(i)).alias("ord"), path.alias("path"), node.alias("node"), text.alias("json")
-        )
-
-    items = F.slice(
-        F.call_function("try_variant_get", n["node"], F.lit("$"), F.lit("array<variant>")), 1, ARRAY_SAMPLE
-    )
-
-    def item(v: Column, i: Column) -> Column:
-        return F.struct(
-            F.concat(n["ord"], F.array(i)).alias("ord"),
-            F.concat(n["path"], F.lit("["), i.cast("string"), F.lit("]")).alias("path"),
-            v.alias("node"),
-            F.coalesce(
-                _json_text(n["json"], F.concat(F.lit("$["), i.cast("string"), F.lit("]"))), F.to_json(v)
-            ).alias("json"),
-        )
-
-    none = F.array().cast(f"array<{_NODE}>")
-    return (
-        F.when(kind.startswith("OBJECT"), F.transform(ordered, member))
-        .when(kind.startswith("ARRAY"), F.transform(items, item))
-        .otherwise(none)
-        .cast(f"array<{_NODE}>")
-    )
-
-
-def json_paths(body: Column) -> Column:
-    """Paths of a JSON body in document order: ``array<struct<path,preview,scalar,text>>``.
-
-    Works inside the row. One level is taken per step, and a level keeps its first 400 nodes:
-    a node behind 400 others of its own level cannot be among the first 400 of the document.
-    """
-    node = F.try_parse_json(body)
-    none = F.array().cast(f"array<{_NODE}>")
-    root = F.array(
-        F.struct(
-            F.array().cast("array<int>").alias("ord"),
-            F.lit("").alias("path"),
-            node.alias("node"),
-            body.alias("json"),
-        )
-    ).cast(f"array<{_NODE}>")
-    # No more levels than opening brackets, and each level adds at least one listed path.
-    levels = F.least(F.lit(PATH_LIMIT), F.length(F.regexp_replace(body, r"[^\[{]", "")))
-    start = F.struct(none.alias("out"), root.alias("level"))
-
-    def deeper(acc: Column, _i: Column) -> Column:
-        below = F.slice(F.flatten(F.transform(acc["level"], _children)), 1, PATH_LIMIT)
-        return F.struct(F.concat(acc["out"], below).alias("out"), below.alias("level"))
-
-    found = F.aggregate(
-        F.when(levels > 0, F.sequence(F.lit(1), levels)).otherwise(F.array().cast("array<int>")), start, deeper
-    )["out"]
-    in_order = F.slice(
-        F.array_sort(found, lambda a, b: F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0)),
-        1,
-        PATH_LIMIT,
-    )
-
-    def entry(n: Column) -> Column:
-        kind = F.schema_of_variant(n["node"])
-        size = F.when(
-            kind.startswith("ARRAY"),
-            F.size(F.call_function("try_variant_get", n["node"], F.lit("$"), F.lit("array<variant>"))),
-        ).otherwise(F.size(F.json_object_keys(n["json"])))
-        plural = F.when(size == 1, "").otherwise("s")
-        string = kind == "STRING"
-        text = F.when(string | _is_container(n["node"]), n["json"]).otherwise(F.to_json(n["node"]))
-        shown = F.when(string, F.to_json(n["node"])).otherwise(text)
-        preview = (
-            F.when(kind.startswith("ARRAY"), F.concat(F.lit("["), size, F.lit(" item"), plural, F.lit("]")))
-            .when(kind.startswith("OBJECT"), F.concat(F.lit("{"), size, F.lit(" key"), plural, F.lit("}")))
-            .when(F.length(shown) > 60, F.concat(F.left(shown, F.lit(57)), F.lit("…")))
-            .otherwise(shown)
-        )
-        return F.struct(
-            n["path"].alias("path"),
-            preview.alias("preview"),
-            (~_is_container(n["node"])).alias("scalar"),
-            text.alias("text"),
-        )
-
-    listed = F.transform(in_order, entry)
-    return F.when(node.isNull(), F.array().cast("array<struct<path:string,preview:string,scalar:boolean,text:string>>")).otherwise(listed)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from apiquarry.functions import text
 from apiquarry.functions.pretty import pretty_json
+from apiquarry.operators.attach import attach
 
 P = "project_id"
 SECRETS = "array<struct<name:string,value:string>>"
@@ -18,7 +19,8 @@ def secret_lists(secrets: DataFrame) -> DataFrame:
 
 
 def with_secrets(df: DataFrame, secrets: DataFrame) -> DataFrame:
-    joined = df.join(secret_lists(secrets), P, "left")
+    """The project's secrets beside each row. The log is not dealt by project: the secret store goes to it."""
+    joined = attach(df, secret_lists(secrets), [P])
     return joined.withColumn("_secrets", F.coalesce("_secrets", F.array().cast(SECRETS)))
 
 

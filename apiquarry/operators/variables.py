@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apiquarry.functions.text import REFERENCE, let, references, strip
+from apiquarry.operators.attach import attach
 
 P, ENV = "project_id", "environment"
 
@@ -212,7 +213,7 @@ def substitute(text: Column, resolved: Column) -> Column:
 def resolve_templates(texts: DataFrame, variables: DataFrame, column: str, out: str = "resolved_text") -> DataFrame:
     """Resolve ``column`` of a table that has project_id and environment."""
     maps = resolved_maps(variables).withColumnRenamed("resolved", "_map")
-    return texts.join(maps, [P, ENV], "left").withColumn(out, substitute(F.col(column), F.col("_map"))).drop("_map")
+    return attach(texts, maps, [P, ENV]).withColumn(out, substitute(F.col(column), F.col("_map"))).drop("_map")
 
 
 def lookup_references(refs: DataFrame, variables: DataFrame) -> DataFrame:
@@ -225,7 +226,7 @@ def undefined_references(requests: DataFrame, variables: DataFrame, refs: str =
     maps = scope_maps(variables)
     scope = F.coalesce("scope", F.create_map().cast("map<string,struct<value:string,secret:string>>"))
     names = F.filter(F.col(refs), lambda n: ~F.map_contains_key(scope, canonical_name(n)))
-    return requests.join(maps, [P, ENV], "left").withColumn("undefined", names).drop("scope").filter(F.size("undefined") > 0)
+    return attach(requests, maps, [P, ENV]).withColumn("undefined", names).drop("scope").filter(F.size("undefined") > 0)
 
 
 def missing_secrets(expected: DataFrame, secrets: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from apiquarry.functions import paths
-from apiquarry.operators import closure, graph, groups, inventory, linking, merge, models, providers, views
+from apiquarry.operators import closure, graph, groups, inventory, linking, merge, models, providers, views, warnings
 from apiquarry.plans.base import query, table
 from apiquarry.schemas import AUTH, BODY, PARAM
 from apiquarry.session import cut_lineage
@@ -652,3 +652,20 @@ def misses_now_found(spark, sf):
     plain = routes.selectExpr("'e0' AS project_id", "concat('/api/v', n_regionkey, '/n', n_nationkey, '/customers/', c_custkey, '/{id}') AS path")
     old = routes.selectExpr("'e0' AS project_id", "concat('/api/legacy/customers/', c_custkey, '/{id}') AS path")
     return inventory.misses_now_found(plain.unionByName(old), view_of(spark, sf))
+
+
+@query(
+    "warning_summary",
+    """WITH w AS (SELECT CASE WHEN event_id % 10 < 9 THEN 'big' ELSE 'p' || (user_id % 3) END AS project_id, event_id AS seq, event_type AS kind, event_type || ' of ' || user_id AS message FROM events),
+ k AS (SELECT project_id, kind, count(*) AS n FROM w GROUP BY ALL),
+ e AS (SELECT project_id, list(message ORDER BY seq)[1:3] AS examples FROM w GROUP BY 1),
+ t AS (SELECT project_id, CAST(sum(n) AS BIGINT) AS warnings, string_agg(kind || '=' || n, ',' ORDER BY n DESC, kind) AS kinds FROM k GROUP BY 1)
+ SELECT project_id, warnings, kinds, array_to_string(examples, '; ') AS examples, warnings || ' scan warning(s), e.g.: ' || array_to_string(examples, ' | ') AS summary FROM t JOIN e USING (project_id)""",
+)
+def warning_summary(spark, sf):
+    """One project has nine tenths of all warnings."""
+    found = table(spark, sf, "events").selectExpr(
+        "CASE WHEN event_id % 10 < 9 THEN 'big' ELSE concat('p', user_id % 3) END AS project_id", "event_id AS seq", "event_type AS kind", "concat(event_type, ' of ', user_id) AS message"
+    )
+    kinds = F.array_join(F.transform("kinds", lambda k: F.concat_ws("=", k["kind"], k["n"].cast("string"))), ",")
+    return warnings.summarise(found).select(P, "warnings", kinds.alias("kinds"), F.array_join("examples", "; ").alias("examples"), "summary")

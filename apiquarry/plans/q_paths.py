@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from apiquarry.functions import http, jsonvalues, paths, text
+from apiquarry.operators.json_paths import json_paths as json_rows
 from apiquarry.plans.base import EX, exchanges, query, table
 from apiquarry.sources.files import file_routes
 from apiquarry.operators.inventory import UNSPECIFIED_METHODS
@@ -418,5 +419,22 @@ def method_predicates(spark, sf):
 )
 def json_paths(spark, sf):
     df = table(spark, sf, "orders").selectExpr("o_orderkey", f"{BODY} AS body")
-    return df.select("o_orderkey", F.explode(jsonvalues.json_paths(c("body"))).alias("e")).select("o_orderkey", "e.path", "e.preview", "e.scalar")
+    return json_rows(df, "body", ["o_orderkey"]).select("o_orderkey", "path", "preview", "scalar")
 
+
+@query(
+    "json_paths_long",
+    """WITH c AS (SELECT c_custkey AS k, 40 + c_custkey % 30 AS n FROM customer)
+ SELECT k, 'rows' AS path, '[' || n || ' items]' AS preview FROM c
+ UNION ALL SELECT k, 'rows[' || i || ']', '{1 key}' FROM c, LATERAL (SELECT unnest(range(n)) AS i)
+ UNION ALL SELECT k, 'rows[' || i || '].v', CAST(k * i AS VARCHAR) FROM c, LATERAL (SELECT unnest(range(n)) AS i)
+ UNION ALL SELECT k, 'deep' || repeat('.d', i), CASE WHEN i = 20 THEN '"' || repeat('x', 70) || '"' ELSE '{1 key}' END FROM c, LATERAL (SELECT unnest(range(21)) AS i)""",
+)
+def json_paths_long(spark, sf):
+    """Arrays of many elements, and objects twenty deep: nothing is left out or cut."""
+    df = table(spark, sf, "customer").selectExpr(
+        "c_custkey AS k",
+        "concat('{\"rows\":[', array_join(transform(sequence(0L, 39 + c_custkey % 30), i -> concat('{\"v\":', c_custkey * i, '}')), ','), '],\"deep\":', "
+        "repeat('{\"d\":', 20), '\"', repeat('x', 70), '\"', repeat('}', 20), '}') AS body",
+    )
+    return json_rows(df, "body", ["k"]).select("k", "path", "preview")

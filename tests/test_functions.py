@@ -2,6 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from apiquarry.functions import http, jsonvalues, paths, text
+from apiquarry.operators import warnings
+from apiquarry.operators.attach import attach
+from apiquarry.operators.json_paths import json_paths
 
 c = F.col
 
@@ -106,21 +109,52 @@ def test_holds(one, op, actual, expected, want):
     assert one(jsonvalues.holds(c("o"), c("a").cast("string"), c("e")), o=op, a=actual, e=expected) is want
 
 
-def test_json_paths(one):
-    got = one(jsonvalues.json_paths(c("b")), b='{"b":{"x y":1},"a":[1,"two",null,4],"2":true,"e":{}}')
-    assert [(r["path"], r["preview"], r["scalar"], r["text"]) for r in got] == [
+def test_json_paths(spark):
+    bodies = {
+        1: '{"b": {"x y": 1}, "a":[1,"two",null,4.0],"2":true,"10":0,"e":{}, "s":"a\\"b\u00e9"}', 2: "not json", 3: None, 4: "7", 5: ' [[],[{"k":"{\\"no\\":1}"}]]',
+        6: "{" + ",".join(f'"k{i}":[{i}]' for i in range(500)) + "}", 7: '{"a":1,"a":2}', 8: "[" + ",".join(map(str, range(50))) + "]", 9: '{"n":' * 16 + "1" + "}" * 16,
+    }
+    df = spark.createDataFrame(list(bodies.items()), "id int, body string")
+    rows = {}
+    for r in sorted(json_paths(df, "body", ["id"]).collect(), key=lambda r: r.place):
+        rows.setdefault(r.id, []).append((r.path, r.preview, r.scalar, r.text))
+    assert rows[1] == [
         ('["2"]', "true", True, "true"),
+        ('["10"]', "0", True, "0"),
         ("b", "{1 key}", False, '{"x y":1}'),
         ('b["x y"]', "1", True, "1"),
-        ("a", "[4 items]", False, '[1,"two",null,4]'),
+        ("a", "[4 items]", False, '[1,"two",null,4.0]'),
         ("a[0]", "1", True, "1"),
         ("a[1]", '"two"', True, "two"),
         ("a[2]", "null", True, "null"),
+        ("a[3]", "4.0", True, "4.0"),
         ("e", "{0 keys}", False, "{}"),
+        ("s", '"a\\"b\u00e9"', True, 'a"b\u00e9'),
     ]
-    assert one(jsonvalues.json_paths(c("b")), b="not json") == []
-    wide = "{" + ",".join(f'"k{i}":[{i}]' for i in range(500)) + "}"
-    assert len(one(jsonvalues.json_paths(c("b")), b=wide)) == 400
+    assert not rows.keys() & {2, 3, 4, 7}
+    assert [r[:3] for r in rows[5]] == [("[0]", "[0 items]", False), ("[1]", "[1 item]", False), ("[1][0]", "{1 key}", False), ("[1][0].k", '"{\\"no\\":1}"', True)]
+    assert len(rows[6]) == 1000 and len(rows[8]) == 50 and len(rows[9]) == 16
+    short = json_paths(df.filter("id > 5"), "body", ["id"], limit=400, sample=3, width=10)
+    assert {r.id: r.n for r in short.groupBy("id").agg(F.count("*").alias("n")).collect()} == {6: 400, 8: 3, 9: 16}
+
+
+def test_attach_moves_only_the_small_side(spark):
+    log = spark.range(1000).selectExpr("IF(id % 10 = 0, 'cold', 'hot') AS project_id", "id", "map('a', id) AS m")
+    small = spark.createDataFrame([("hot", 1), ("other", 2)], "project_id string, v int")
+    for limit in (None, 0):
+        got = attach(log, small, ["project_id"], limit)
+        assert sorted((r.id, r.v) for r in got.collect()) == [(i, None if i % 10 == 0 else 1) for i in range(1000)]
+    plan = attach(log, small, ["project_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(project_id" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_warning_summary_with_one_noisy_project(spark):
+    rows = [("hot", i, f"kind{i % 3}", f"w{i:05d}") for i in range(9000)] + [("cold", i, None, f"c{i}") for i in range(2)] + [("mute", 1, "k", None), ("hot", 0, "kind0", "w00000")]
+    got = {r.project_id: r for r in warnings.summarise(spark.createDataFrame(rows, "project_id string, seq int, kind string, message string"), n=4).collect()}
+    assert got["hot"].warnings == 9001 and [tuple(k) for k in got["hot"].kinds] == [("kind0", 3001), ("kind1", 3000), ("kind2", 3000)]
+    assert got["hot"].examples == ["w00000", "w00000", "w00001", "w00002"]
+    assert got["cold"].summary == "2 scan warning(s), e.g.: c0 | c1" and got["mute"].summary == "1 scan warning(s)"
+
 
 
 def test_references(one):
