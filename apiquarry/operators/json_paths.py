@@ -26,25 +26,19 @@ def _segment(key: Column, root: Column) -> Column:
     return F.when(key.rlike(PLAIN_KEY), F.when(root, key).otherwise(F.concat(F.lit("."), key))).otherwise(quoted)
 
 
-def _members(json: Column, sample: int | None) -> Column:
-    """``array<struct<key,text,node>>`` of a container in document order; elements have no key."""
-    entry = "array<struct<key:string,text:string,node:variant>>"
-
-    def of(keys: Column, texts: Column, nodes: Column) -> Column:
-        pairs = F.zip_with(texts, nodes, lambda t, n: F.struct(t.alias("text"), n.alias("node")))
-        return F.zip_with(keys, pairs, lambda k, p: F.struct(k.alias("key"), p["text"].alias("text"), p["node"].alias("node"))).cast(entry)
-
-    texts, nodes = F.from_json(json, "map<string,string>"), F.from_json(json, "map<string,variant>")
-    items, values = F.from_json(json, "array<string>"), F.from_json(json, "array<variant>")
-    if sample is not None:
-        items, values = F.slice(items, 1, sample), F.slice(values, 1, sample)
-    none = F.transform(items, lambda _t: F.lit(None).cast("string"))
-    return F.when(json.startswith("{"), of(F.map_keys(texts), F.map_values(texts), F.map_values(nodes))).otherwise(of(none, items, values))
-
-
 def _expanded(level: DataFrame, keys: list[str], sample: int | None) -> DataFrame:
     """Members of the containers ``_place, _path, _json`` of a level, one row each."""
-    rows = level.select(*keys, "_place", "_path", F.posexplode(_members(F.col("_json"), sample)).alias("_i", "_m"))
+    # every text is parsed twice, for the spelling of its members and for their types
+    json, named = F.col("_json"), F.col("_json").startswith("{")
+    parsed = level.select(
+        *keys, "_place", "_path", F.when(named, F.from_json(json, "map<string,string>")).alias("_texts"), F.when(named, F.from_json(json, "map<string,variant>")).alias("_nodes"),
+        F.when(~named, F.from_json(json, "array<string>")).alias("_items"), F.when(~named, F.from_json(json, "array<variant>")).alias("_values"),
+    )
+    items, values = ("_items", "_values") if sample is None else (F.slice("_items", 1, sample), F.slice("_values", 1, sample))
+    of_object = F.arrays_zip(F.map_keys("_texts").alias("key"), F.map_values("_texts").alias("text"), F.map_values("_nodes").alias("node"))
+    of_array = F.arrays_zip(F.array().cast("array<string>").alias("key"), F.col(items).alias("text") if isinstance(items, str) else items, F.col(values).alias("node") if isinstance(values, str) else values)
+    entry = "array<struct<key:string,text:string,node:variant>>"
+    rows = parsed.select(*keys, "_place", "_path", F.posexplode(F.coalesce(of_object.cast(entry), of_array.cast(entry))).alias("_i", "_m"))
     key, kind = F.col("_m.key"), F.coalesce(F.schema_of_variant("_m.node"), F.lit("VOID"))
     number = F.when(key.rlike(INDEX_KEY), key.cast("bigint"))
     # keys that are numbers come before all others, in their order

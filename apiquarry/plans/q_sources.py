@@ -198,6 +198,23 @@ def resolve_local_refs(spark, sf):
     return operations(spark, sf).filter("method = 'POST'").select("k", c("body.schema_json").alias("schema_json"))
 
 
+@query(
+    "resolve_deep_refs",
+    """SELECT s_suppkey AS k, '{"properties":{"id":{"enum":[' || s_suppkey || ']},"self":{}},"type":"object"}' AS schema_json, '{"id":' || s_suppkey || ',"self":null}' AS example_json FROM supplier""",
+)
+def resolve_deep_refs(spark, sf):
+    """Chains of sixteen references with nested members beside each, and a circle at their end."""
+    ref = "'{\"$ref\":\"#/components/schemas/C'"
+    chain = f"array_join(transform(sequence(0, 15), i -> concat('\"C', i, '\":', {ref}, i + 1, '\",\"x-a\":{{\"b\":{{\"c\":[', i, ']}}}}}}')), ',')"
+    raw = table(spark, sf, "supplier").selectExpr(
+        "concat('n', s_nationkey) AS project_id", "CAST(s_suppkey AS STRING) AS document",
+        "concat('{\"openapi\":\"3.0.0\",\"paths\":{\"/p\":{\"post\":{\"requestBody\":{\"content\":{\"application/json\":{\"schema\":', " + ref + ", '0\"}}}}}}},\"components\":{\"schemas\":{', "
+        + chain + ", ',\"C16\":{\"type\":\"object\",\"properties\":{\"id\":{\"enum\":[', s_suppkey, ']},\"self\":', " + ref + ", '3\"}}}}}}') AS content",
+    )
+    got = openapi.openapi_endpoints(openapi.parse_documents(raw))
+    return got.select(c("document").cast("bigint").alias("k"), c("body.schema_json").alias("schema_json"), c("body.example_json").alias("example_json"))
+
+
 @query(
     "requests_from_openapi",
     """SELECT s_suppkey AS k, CASE WHEN s_suppkey % 4 = 0 THEN 'http://h' || s_suppkey || '.example.com/v2' ELSE 'https://s' || s_suppkey || '.example.com' END AS base_url, CASE WHEN s_suppkey % 4 = 0 THEN 1 ELSE 2 END AS requests FROM supplier WHERE s_suppkey % 4 <> 1""",

@@ -1,3 +1,4 @@
+import json
 import tempfile
 
 from pyspark.sql import functions as F
@@ -32,6 +33,26 @@ def test_openapi(spark):
     }
 
 
+def test_references_of_any_shape(spark):
+    """Members of any nesting beside a reference, long texts, chains of thirty, and circles."""
+    chain = {f"C{i}": {"$ref": f"#/components/schemas/C{i + 1}", "x-a": {"b": {"c": [i, {"d": 1}]}}, "description": 'long "text" {' * 10_000} for i in range(30)}
+    nest = {"type": "integer"}
+    for _ in range(25):
+        nest = {"type": "array", "items": nest}
+    schemas = chain | {
+        "C30": {"type": "object", "properties": {"deep": nest, "self": {"$ref": "#/components/schemas/C30"}}}, "A": {"properties": {"b": {"$ref": "#/components/schemas/B"}}},
+        "B": {"properties": {"a": {"$ref": "#/components/schemas/A"}, "gone": {"$ref": "#/nowhere"}, "far": {"$ref": "x.json#/Y", "z": 1}, "s~/l": {"$ref": "#/components/schemas/t~0~1u"}}}, "t~/u": {"enum": ["$ref"]},
+    }
+    body = lambda ref: {"requestBody": {"content": {"application/json": {"schema": {"$ref": f"#/components/schemas/{ref}"}}}}}
+    doc = {"openapi": "3.0.0", "paths": {"/c": {"post": body("C0")}, "/a": {"post": body("A")}}, "components": {"schemas": schemas}}
+    got = {r["id"]: r["body"] for r in openapi.openapi_endpoints(docs(spark, json.dumps(doc))).collect()}
+    assert json.loads(got["POST /c"]["schema_json"]) == {"type": "object", "properties": {"deep": nest, "self": {}}}
+    assert got["POST /c"]["example_json"] == '{"deep":' + "[" * 25 + "0" + "]" * 25 + ',"self":null}'
+    assert json.loads(got["POST /a"]["schema_json"]) == {
+        "properties": {"b": {"properties": {"a": {}, "gone": {}, "far": {"$ref": "x.json#/Y", "z": 1}, "s~/l": {"enum": ["$ref"]}}}}
+    }
+
+
 def test_example_of_schema(spark):
     cases = [
         ('{"type":"array","items":{"type":"number"}}', "[0.0]"), ('{"allOf":[{"type":"boolean"}]}', "false"), ('{"default":null,"type":"string"}', "null"),
