@@ -10,9 +10,8 @@ from apiquarry.operators.attach import attach
 
 P, ENV = "project_id", "environment"
 
-# Scopes by precedence, and the deepest nesting of variables in variables.
+# Scopes by precedence.
 SCOPES = ["request_local", "environment", "globals", "secrets"]
-MAX_DEPTH = 10
 
 RESOLVED = "struct<value:string,secrets:array<string>,error:string,error_name:string>"
 
@@ -81,103 +80,98 @@ def _weave(text: Column, values: Column) -> Column:
     return F.array_join(F.zip_with(literals, values, lambda l, v: F.concat(l, F.coalesce(v, F.lit("")))), "")
 
 
-def _expand(text: Column, scope: Column) -> Column:
-    """``struct<text, secrets>`` after at most ten levels; what cannot be expanded stays."""
+def _done(value: Column | None = None, secrets: Column | None = None, error: Column | None = None, name: Column | None = None) -> Column:
+    null = F.lit(None).cast("string")
+    return F.struct(
+        (null if value is None else value).alias("value"), (F.array().cast("array<string>") if secrets is None else secrets).alias("secrets"),
+        (null if error is None else error).alias("error"), (null if name is None else name).alias("error_name"),
+    ).cast(RESOLVED)
 
-    def once(acc: Column) -> Column:
-        t = acc["text"]
-        raw = F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0))
-        hits = F.transform(_names(t), lambda n: find(n, scope))
 
-        def put_in(found: Column) -> Column:
-            values = F.zip_with(raw, found, lambda r, h: F.coalesce(h["value"], r))
-            used = F.filter(F.transform(found, lambda h: h["secret"]), lambda s: s.isNotNull())
-            return F.struct(_weave(t, values).alias("text"), F.concat(acc["secrets"], used).alias("secrets"))
+def _needed(names: Column, scope: Column) -> Column:
+    """The names and all that their values refer to, however far: each is looked up once."""
 
-        return F.when(t.rlike(REFERENCE), let(hits, put_in)).otherwise(acc)
+    def more(acc: Column) -> Column:
+        told = F.flatten(F.transform(acc["new"], lambda n: F.coalesce(_names(find(n, scope)["value"]), F.array().cast("array<string>"))))
+        return let(F.array_except(told, acc["every"]), lambda new: F.struct(F.concat(acc["every"], new).alias("every"), new.alias("new")))
 
-    start = F.struct(text.alias("text"), F.array().cast("array<string>").alias("secrets"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_DEPTH)), start, lambda acc, _i: once(acc))
+    start = let(F.array_distinct(names), lambda n: F.struct(n.alias("every"), n.alias("new")))
+    rounds = F.sequence(F.lit(0), F.size(F.map_keys(scope)))
+    return F.aggregate(rounds, start, lambda acc, _i: F.when(F.size(acc["new"]) == 0, acc).otherwise(more(acc)))["every"]
 
 
-def _first_error(text: Column, scope: Column) -> Column:
-    """``struct<error, error_name>``: go down the first reference that does not expand."""
-    state = "struct<cur:string,stack:array<string>,error:string,name:string>"
+def _first_not_ready(name: Column, scope: Column, ready: Column) -> Column:
+    """The first reference of a name's value that is not expanded, or not yet."""
+    return F.get(F.filter(_names(find(name, scope)["value"]), lambda r: F.try_element_at(ready, r).isNull() | F.try_element_at(ready, r)["error"].isNotNull()), F.lit(0))
 
-    def bad(n: Column, stack: Column) -> Column:
-        whole = F.concat(F.lit("{{"), n, F.lit("}}"))
-        return (
-            (n == "")
-            | find(n, scope).isNull()
-            | F.array_contains(stack, n)
-            | _expand(whole, scope)["text"].rlike(REFERENCE)
-        )
+
+def expand_names(names: Column, scope: Column) -> Column:
+    """``map<string,RESOLVED>`` of the names and all that they need.
+
+    Names whose references are all expanded are expanded next, each once, until nothing moves: a chain
+    of n names takes n rounds, and no text is copied on the way round a circle. A name fails as its first
+    reference that does not expand: because that is undefined or empty, or failed itself. What is left then
+    leads to circles, and each name blames the one that comes first a second time on its way.
+    """
+    ready_type = f"map<string,{RESOLVED}>"
+    state = f"struct<ready:{ready_type},left:array<string>,moved:boolean>"
+
+    def attempt(n: Column, ready: Column) -> Column:
+        def with_hit(hit: Column) -> Column:
+            def with_parts(parts: Column) -> Column:
+                bad = F.get(F.filter(parts, lambda x: x["error"].isNotNull()), F.lit(0))
+                waits = F.get(F.filter(F.transform(parts, lambda x: F.when(x.isNull(), F.lit("wait")).otherwise(x["error"])), lambda e: e.isNotNull()), F.lit(0)) == "wait"
+                used = F.concat(F.flatten(F.transform(parts, lambda x: x["secrets"])), F.when(hit["secret"].isNotNull(), F.array(hit["secret"])).otherwise(F.array().cast("array<string>")))
+                fine = _done(_weave(hit["value"], F.transform(parts, lambda x: x["value"])), F.array_sort(F.array_distinct(used)))
+                return F.when(F.coalesce(waits, F.lit(False)), F.lit(None).cast(RESOLVED)).when(bad.isNotNull(), _done(error=bad["error"], name=bad["error_name"])).otherwise(fine)
+
+            missing = F.when(n == "", _done(error=F.lit("empty_name"))).otherwise(_done(error=F.lit("undefined"), name=n))
+            return F.when(hit.isNull(), missing).otherwise(let(F.transform(_names(hit["value"]), lambda r: F.try_element_at(ready, r)), with_parts))
+
+        return let(find(n, scope), with_hit)
 
     def step(acc: Column) -> Column:
-        def blame(culprit: Column) -> Column:
-            def with_hit(hit: Column) -> Column:
-                error = (
-                    F.when(culprit.isNull(), "depth_exceeded")
-                    .when(culprit == "", "empty_name")
-                    .when(hit.isNull(), "undefined")
-                    .when(F.array_contains(acc["stack"], culprit), "cycle")
+        tried = F.transform(acc["left"], lambda n: F.struct(n.alias("n"), attempt(n, acc["ready"]).alias("r")))
+
+        def settled(t: Column) -> Column:
+            new = F.filter(t, lambda x: x["r"].isNotNull())
+            return F.struct(
+                F.map_concat(acc["ready"], F.map_from_entries(new)).alias("ready"), F.transform(F.filter(t, lambda x: x["r"].isNull()), lambda x: x["n"]).alias("left"), (F.size(new) > 0).alias("moved")
+            ).cast(state)
+
+        return F.when(acc["moved"] & (F.size(acc["left"]) > 0), let(tried, settled)).otherwise(acc)
+
+    def circles(end: Column) -> Column:
+        def blamed(n: Column) -> Column:
+            walk = "struct<at:string,seen:array<string>,found:string>"
+
+            def on(acc: Column) -> Column:
+                return let(
+                    _first_not_ready(acc["at"], scope, end["ready"]),
+                    lambda to: F.struct(to.alias("at"), F.concat(acc["seen"], F.array(to)).alias("seen"), F.when(F.array_contains(acc["seen"], to), to).alias("found")).cast(walk),
                 )
-                return F.struct(
-                    hit["value"].alias("cur"),
-                    F.concat(acc["stack"], F.array(culprit)).alias("stack"),
-                    error.cast("string").alias("error"),
-                    F.when((culprit != "") & (hit.isNull() | F.array_contains(acc["stack"], culprit)), culprit).alias("name"),
-                ).cast(state)
-
-            return let(find(culprit, scope), with_hit)
-
-        culprit = F.get(F.filter(_names(acc["cur"]), lambda n: bad(n, acc["stack"])), F.lit(0))
-        return F.when(acc["error"].isNotNull(), acc).otherwise(let(culprit, blame))
-
-    start = F.struct(
-        text.alias("cur"),
-        F.array().cast("array<string>").alias("stack"),
-        F.lit(None).cast("string").alias("error"),
-        F.lit(None).cast("string").alias("name"),
-    ).cast(state)
-    end = F.aggregate(F.sequence(F.lit(0), F.lit(MAX_DEPTH)), start, lambda acc, _i: step(acc))
-    return let(
-        end, lambda e: F.struct(F.coalesce(e["error"], F.lit("depth_exceeded")).alias("error"), e["name"].alias("error_name"))
-    )
 
+            start = F.struct(n.alias("at"), F.array(n).alias("seen"), F.lit(None).cast("string").alias("found")).cast(walk)
+            return F.aggregate(F.sequence(F.lit(0), F.size(end["left"])), start, lambda acc, _i: F.when(acc["found"].isNotNull(), acc).otherwise(on(acc)))["found"]
 
-def expand(text: Column, scope: Column) -> Column:
-    """Resolve a template against raw scopes: value and secrets used, or the first error."""
+        failed = F.map_from_entries(F.transform(end["left"], lambda n: F.struct(n, _done(error=F.lit("cycle"), name=blamed(n)))))
+        return F.when(F.size(end["left"]) == 0, end["ready"]).otherwise(F.map_concat(end["ready"], failed))
 
-    def judged(done: Column) -> Column:
-        ok = ~done["text"].rlike(REFERENCE)
-        clean = F.struct(
-            done["text"].alias("value"),
-            F.array_sort(F.array_distinct(done["secrets"])).alias("secrets"),
-            F.lit(None).cast("string").alias("error"),
-            F.lit(None).cast("string").alias("error_name"),
-        ).cast(RESOLVED)
-        failed = let(
-            _first_error(text, scope),
-            lambda w: F.struct(
-                F.lit(None).cast("string").alias("value"),
-                F.array().cast("array<string>").alias("secrets"),
-                w["error"].alias("error"),
-                w["error_name"].alias("error_name"),
-            ).cast(RESOLVED),
-        )
-        return F.when(ok, clean).otherwise(failed)
+    def run(every: Column) -> Column:
+        start = F.struct(F.create_map().cast(ready_type).alias("ready"), every.alias("left"), F.lit(True).alias("moved")).cast(state)
+        return let(F.aggregate(F.sequence(F.lit(0), F.size(every)), start, lambda acc, _i: step(acc)), circles)
 
-    return let(_expand(text, scope), judged)
+    return let(_needed(names, scope), run)
+
+
+def expand(text: Column, scope: Column) -> Column:
+    """Resolve a template against raw scopes: value and secrets used, or the first error."""
+    return F.when(text.rlike(REFERENCE), let(expand_names(_names(text), scope), lambda ready: substitute(text, ready))).otherwise(F.when(text.isNotNull(), _done(text)))
 
 
 def resolved_maps(variables: DataFrame) -> DataFrame:
     """Environments with every name already expanded, so a text needs one look-up per name."""
-    one = F.transform(
-        F.map_keys("scope"),
-        lambda n: F.struct(n, expand(F.concat(F.lit("{{"), n, F.lit("}}")), F.col("scope"))),
-    )
-    return scope_maps(variables).select(P, ENV, F.map_from_entries(one).alias("resolved"))
+    return scope_maps(variables).select(P, ENV, expand_names(F.map_keys("scope"), F.col("scope")).alias("resolved"))
 
 
 def substitute(text: Column, resolved: Column) -> Column:

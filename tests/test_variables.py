@@ -7,7 +7,7 @@ VARS = [
     ("environment", "base", "http://h"), ("globals", "base", "http://global"), ("globals", "token", "plain"), ("secrets", "token", "s3cr3t"),
     ("secrets", "only", "hush"), ("environment", "url", "{{base}}/v1"), ("environment", "auth", "Bearer {{ secret:token }}"),
     ("environment", "loop", "{{loop2}}"), ("environment", "loop2", "x{{loop}}"), ("environment", "bad", "{{ok}}{{nope}}"), ("environment", "ok", "fine"),
-    ("environment", "empty", "{{}}"), *[("environment", f"c{i}", "{{c%d}}" % (i + 1)) for i in range(12)], ("environment", "c12", "end"),
+    ("environment", "empty", "{{}}"), *[("environment", f"c{i}", "{{c%d}}" % (i + 1)) for i in range(40)], ("environment", "c40", "end"), ("environment", "two", "{{two}}{{two}}"), ("environment", "late", "{{ok}}{{two}}{{nope}}"), ("environment", "tail", "{{c30}}+{{c39}}+{{auth}}"),
     ("request_local", "local", "L"), ("environment", "local", "E"),
 ]
 
@@ -33,16 +33,20 @@ def scope(spark):
         ("{{ok}}{{loop}}", None, None, "cycle", "loop"),
         ("{{loop2}}", None, None, "cycle", "loop2"),
         ("{{c3}}", "end", [], None, None),
-        ("{{c2}}", None, None, "depth_exceeded", None),
+        ("{{c0}}", "end", [], None, None),
+        ("{{two}}", None, None, "cycle", "two"),
+        ("{{late}}", None, None, "cycle", "two"),
+        ("{{tail}}", "end+end+Bearer s3cr3t", ["token"], None, None),
     ],
 )
 def test_resolve(spark, scope, text, value, secrets, error, name):
-    # c3 … c12 are ten levels; one more is too deep.
     texts = spark.createDataFrame([("p", "dev", text)], "project_id string, environment string, t string")
     r = variables.resolve_templates(texts, scope, "t").first()["resolved_text"]
     assert (r["value"], r["error"], r["error_name"]) == (value, error, name)
     if secrets is not None:
         assert r["secrets"] == secrets
+    raw = texts.join(variables.scope_maps(scope), ["project_id", "environment"]).select(variables.expand(F.col("t"), F.col("scope")).alias("r")).first()["r"]
+    assert (raw["value"], raw["error"], raw["error_name"]) == (value, error, name)
 
 
 def test_undefined_missing_and_names(spark, scope):
