@@ -164,9 +164,15 @@ def expand_names(names: Column, scope: Column) -> Column:
     return let(_needed(names, scope), run)
 
 
+#: Stands for the text itself among the names; no reference can be written like this.
+_TEXT = "}}"
+
+
 def expand(text: Column, scope: Column) -> Column:
     """Resolve a template against raw scopes: value and secrets used, or the first error."""
-    return F.when(text.rlike(REFERENCE), let(expand_names(_names(text), scope), lambda ready: substitute(text, ready))).otherwise(F.when(text.isNotNull(), _done(text)))
+    own = F.create_map(F.lit(_TEXT), F.struct(text.alias("value"), F.lit(None).cast("string").alias("secret")))
+    resolved = F.try_element_at(expand_names(F.array(F.lit(_TEXT)), F.map_concat(scope, own)), F.lit(_TEXT))
+    return F.when(text.rlike(REFERENCE), resolved).otherwise(F.when(text.isNotNull(), _done(text)))
 
 
 def resolved_maps(variables: DataFrame) -> DataFrame:

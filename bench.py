@@ -13,7 +13,7 @@ from apiquarry.session import build_session
 HEADLINE = [
     "newest_match", "check_allowed", "redact_history", "mask_named", "resolve_templates", "json_path", "holds", "history_prune_deep",
     "rank_per_key", "export_har", "read_openapi", "read_raw_http", "detect_frameworks", "values_in_scope", "save_inventory",
-    "coalesce_changes", "suppress_echo", "inventory_drift", "resolve_routes", "evaluate_runs",
+    "coalesce_changes", "suppress_echo", "inventory_drift", "resolve_routes", "evaluate_runs", "json_paths", "warning_summary",
 ]
 
 
