@@ -45,8 +45,9 @@ SHARD_WORDS = 4_000_000
 LEVELS = 6
 #: Copies of the table of sources when rows are joined with it.
 SALTS = 64
-#: A prime above any number of blocks; multiplying by it permutes block numbers.
-STEP = 1_000_000_007
+#: Primes; multiplying by one that does not divide the number of blocks permutes block numbers. A number
+#: that both divide is beyond 9e17.
+STEPS = (1_000_000_007, 998_244_353)
 
 
 def _measured(docs: DataFrame, text: str, source: str, key: str, seed: int) -> DataFrame:
@@ -100,23 +101,45 @@ def _plan(sources: DataFrame, seed: int) -> DataFrame:
 
 
 def _rank(block: Column) -> Column:
-    """Place of a block in the order of its pass; a bijection, as the prime does not divide ``blocks``."""
-    return F.pmod(F.pmod(block, F.col("blocks")) * F.pmod(F.lit(STEP), F.col("blocks")) + F.col("offset"), F.col("blocks"))
+    """Place of a block in the order of its pass: a bijection. Products are decimals, which hold them at any size."""
+    blocks = F.col("blocks")
+    step = F.when(blocks % STEPS[0] == 0, STEPS[1]).otherwise(STEPS[0])
+    product = F.pmod(block, blocks).cast("decimal(19,0)") * F.pmod(step, blocks).cast("decimal(10,0)")
+    return F.pmod(F.pmod(product, blocks.cast("decimal(19,0)")).cast("bigint") + F.col("offset"), blocks)
 
 
 def _seed(*path: object) -> np.random.Generator:
     return np.random.default_rng(int.from_bytes(hashlib.sha256("/".join(map(str, path)).encode()).digest()[:8], "little"))
 
 
+def hypergeometric(good: int, bad: int, draws: int, rng: np.random.Generator) -> int:
+    """How many of ``draws`` from ``good + bad`` are good, for populations of any size.
+
+    Inversion over the probabilities within ten deviations of the mode, each from its neighbour's by
+    their ratio: no logarithms of factorials, whose errors would grow with the population.
+    """
+    low, high = max(0, draws - bad), min(draws, good)
+    if low == high:
+        return low
+    whole = good + bad
+    mode = min(high, max(low, (draws + 1) * (good + 1) // (whole + 2)))
+    spread = (draws * (good / whole) * (bad / whole) * ((whole - draws) / max(1, whole - 1))) ** 0.5
+    reach = int(10 * spread) + 30
+    low, high = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(low, high, dtype=np.float64)
+    steps = np.log(good - k) + np.log(draws - k) - np.log(k + 1) - np.log(bad - draws + k + 1)
+    logs = np.append(0.0, np.cumsum(steps))
+    sums = np.cumsum(np.exp(logs - logs.max()))
+    return low + int(np.searchsorted(sums, rng.random() * sums[-1], side="right"))
+
+
 def _halved(counts: np.ndarray, left: int, rng: np.random.Generator) -> np.ndarray:
     """Multivariate hypergeometric draw of ``left`` blocks from the counts, source by source."""
     out, rest, need = np.zeros_like(counts), int(counts.sum()), left
     for i, have in enumerate(counts):
         rest -= int(have)
-        if need:
-            # numpy's generator takes populations below 1e9; beyond, the share is exact enough to be rounded
-            out[i] = rng.hypergeometric(int(have), rest, need) if have + rest < 10**9 else min(int(have), max(need - rest, round(need * int(have) / (int(have) + rest))))
-            need -= int(out[i])
+        out[i] = hypergeometric(int(have), rest, need, rng)
+        need -= int(out[i])
     return out
 
 
