@@ -107,16 +107,18 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     """
     prints = cut_lineage(fingerprints(docs, text, key))
     split = cut_lineage(_collisions(docs, prints, text, key)).withColumn("split", F.lit(True))
-    prints = prints.join(split, ["n", "h1", "h2"], "left").withColumn("part", F.when(F.col("split"), F.col("sha")).otherwise("")).drop("split")
-    group = ["n", "h1", "h2", "part"]
+    # copies of a text are combined before anything is dealt by fingerprint
+    texts = prints.groupBy("n", "h1", "h2", "sha").agg(F.min("doc_id").alias("least"), F.sum("copies").alias("rows"), F.count("*").alias("ids"))
+    parted = texts.join(split, ["n", "h1", "h2"], "left").withColumn("part", F.when(F.col("split"), F.col("sha")).otherwise(""))
+    # one text under an unsplit fingerprint, and one a part under a split one
     shared = (
-        prints.groupBy(*group)
-        .agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"), F.count("*").alias("members"))
+        parted.groupBy("n", "h1", "h2", "part")
+        .agg(F.min("sha").alias("sha"), F.min("least").alias("keep_id"), F.sum("rows").alias("group_size"), F.sum("ids").alias("members"))
         .filter("members > 1")
-        .drop("members")
+        .drop("members", "part")
     )
     # cut, so that the join below has an exchange on either side and a hot group can be split
-    found = prints.join(cut_lineage(shared), group, "left")
+    found = prints.join(cut_lineage(shared), ["n", "h1", "h2", "sha"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select(
         "doc_id", "sha", "copies", keep.alias("keep_id"), F.coalesce("group_size", "copies").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("keeps")
