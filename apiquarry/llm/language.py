@@ -2,8 +2,8 @@
 
 Four kinds of evidence meet in one posterior per page: the likelihood of its visible text under hashed
 byte trigrams of each language, the language its markup declares, the suffix of its address, and what
-is usual on its host. The trigram model is learned from a bounded sample of documents with a known
-language. Everything else is learned from the pages themselves, by grouped aggregation of the posteriors
+is usual on its host. The trigram model is learned from a bounded sample of the documents of each known
+language, so a rare language is one however many documents others have. Everything else is learned from the pages themselves, by grouped aggregation of the posteriors
 that the text alone gives: how often a declaration or a suffix goes with a language, and a prior per host
 that is smoothed towards its domain's, which is smoothed towards that of all pages. A page's own share is
 taken out of its host's and domain's counts. Neighbouring trigrams are not independent, so a text of n of them
@@ -23,16 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from apiquarry.session import cut_lineage
 
 PLACES = 1 << 16
-FIT_ROWS = 4000
-#: Languages with fewer documents in the sample are left out.
-LEAST_DOCUMENTS = 10
+#: Documents a language is learned from, at most.
+FIT_ROWS = 1000
 EFFECTIVE = 200.0
 #: Weight of the level above, in pages.
 SMOOTH = 5.0
@@ -71,28 +70,30 @@ class TrigramModel:
 
 
 def fit_trigrams(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = FIT_ROWS) -> TrigramModel:
-    """Learn from the ``rows`` ids with the smallest hashes among documents of a known language."""
-    known = docs.filter(F.col(f"`{lang}`").isNotNull() & F.col(f"`{key}`").isNotNull())
-    chosen = known.select(F.col(f"`{key}`").alias("c_id")).distinct().orderBy(F.xxhash64("c_id"), "c_id").limit(rows)
-    # the broadcast holds at most ``rows`` ids
-    sample = known.join(F.broadcast(chosen), F.col(f"`{key}`") == F.col("c_id")).select(F.col(f"`{lang}`").alias("lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("body"))
+    """Learn each language from the ``rows`` ids with the smallest hashes among its documents."""
+    known = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{key}`").alias("c_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"))
+    known = known.filter("lang is not null and c_id is not null")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("c_id"), "c_id")
+    # every partition cuts its languages to ``rows`` ids before they are shuffled
+    chosen = known.select("lang", "c_id").distinct().withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= rows).drop("nth")
+    sample = known.join(chosen, ["lang", "c_id"]).select("lang", F.col("body").cast("binary").alias("body"))
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own: dict[str, np.ndarray] = {}
-        docs_of: dict[str, int] = {}
         for batch in batches:
             for lang_, body in zip(batch["lang"], batch["body"]):
-                counts = np.bincount(trigram_places(bytes(body)), minlength=PLACES)
-                own[lang_] = own.get(lang_, 0) + counts
-                docs_of[lang_] = docs_of.get(lang_, 0) + 1
-        yield pd.DataFrame({"lang": pd.Series(list(own), dtype=object), "rows": list(docs_of.values()), "counts": [c.astype(np.int64).tobytes() for c in own.values()]})
-
-    total: dict[str, np.ndarray] = {}
-    seen: dict[str, int] = {}
-    for part in sample.coalesce(8).mapInPandas(sums, "lang string, rows bigint, counts binary").collect():
-        total[part.lang] = total.get(part.lang, 0) + np.frombuffer(part.counts, dtype=np.int64)
-        seen[part.lang] = seen.get(part.lang, 0) + part.rows
-    languages = sorted(x for x in total if seen[x] >= min(LEAST_DOCUMENTS, max(seen.values())))
+                own[lang_] = own.get(lang_, 0) + np.bincount(trigram_places(bytes(body)), minlength=PLACES)
+        yield pd.DataFrame({"lang": pd.Series(list(own), dtype=object), "counts": [c.astype(np.int64).tobytes() for c in own.values()]})
+
+    def combined(parts: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(c, dtype=np.int64) for c in parts["counts"]], axis=0)
+        return pd.DataFrame({"lang": [parts["lang"].iloc[0]], "counts": [total.tobytes()]})
+
+    schema = "lang string, counts binary"
+    # one row a language
+    total = sample.mapInPandas(sums, schema).groupBy("lang").applyInPandas(combined, schema).collect()
+    total = {part.lang: np.frombuffer(part.counts, dtype=np.int64) for part in total}
+    languages = sorted(total)
     counts = np.array([total[x] + 0.5 for x in languages]).reshape(len(languages), PLACES)
     return TrigramModel(languages, np.log(counts / counts.sum(axis=1, keepdims=True)))
 
