@@ -8,7 +8,7 @@ from apiquarry.functions import paths
 from apiquarry.functions.http import language_of
 from apiquarry.operators import collections, detect
 from apiquarry.plans.base import EX, exchanges, query, shared_folder, table
-from apiquarry.sources import files, openapi, raw_http
+from apiquarry.sources import files, ignore, openapi, raw_http
 from apiquarry.sources.history import RedactedHistory, append_history, clear_history, history_rows, read_history
 from apiquarry.streaming import changes, ingest
 from apiquarry.streaming import runs as live
@@ -37,6 +37,21 @@ def source_files_report(spark, sf):
     return files.list_files(tree(spark, sf))[1]
 
 
+@query(
+    "ignore_rules",
+    f"""WITH {SQL_TREE} SELECT project_id, path FROM f WHERE project_id IS NULL OR NOT (path LIKE 'node_modules/%' OR path LIKE 'app/tests/%'
+ OR (path LIKE 'docs/%' AND path NOT LIKE '%7.md') OR (path LIKE 'web/%' AND regexp_matches(path, '[13]\\.ts$') AND path NOT LIKE '%13.ts'))
+ UNION ALL SELECT DISTINCT project_id, unnest(['.gitignore', 'web/.gitignore']) AS path FROM f""",
+)
+def ignore_rules(spark, sf):
+    """Every project with two ignore files: names, folders, negation, and a folder that nothing re-includes."""
+    own = tree(spark, sf).select(P, "path", "content")
+    root = "# generated\\n*.md\\n!docs/d*7.md\\n/app/tests/\\nnode_modules\\n!node_modules/*.js"
+    texts = F.expr(f"map('.gitignore', '{root}', 'web/.gitignore', 's*[13].ts\\n!**/s*13.ts')")
+    rules = own.select(P).distinct().select(P, F.explode(texts).alias("path", "content"))
+    return ignore.without_ignored(own.unionByName(rules)).select(P, "path")
+
+
 @query("language_of", f"WITH {SQL_TREE} SELECT CASE doc_id % 6 WHEN 0 THEN 'javascript' WHEN 1 THEN 'python' WHEN 2 THEN 'python' WHEN 3 THEN 'typescript' WHEN 4 THEN 'go' END AS language, count(*) AS files FROM f GROUP BY 1")
 def language(spark, sf):
     return tree(spark, sf).groupBy(language_of(c("path")).alias("language")).agg(F.count("*").alias("files"))
