@@ -109,6 +109,16 @@ def test_languages_of_pages(spark, tables):
     assert all(0 < r.probability <= 1 for r in got)
 
 
+def test_rare_languages_stay(spark):
+    lines = {"en": "the house is on the hill and the dog is in it", "de": "das Haus steht auf dem Berg und der Hund ist darin", "nl": "het huis staat op de heuvel en de hond is erin"}
+    rows = [(i, "en", lines["en"]) for i in range(60)] + [(100 + i, "de", lines["de"]) for i in range(9)] + [(200, "nl", lines["nl"]), (201, None, "x"), (None, "xx", "y")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    model = language.fit_trigrams(docs, rows=5)
+    assert model.languages == ["de", "en", "nl"]
+    for lang, line in lines.items():
+        assert model.languages[int(model.likelihoods((line + ". " + line).encode()).argmax())] == lang
+
+
 def test_languages_of_nothing(spark, tables):
     nothing = spark.createDataFrame([], PAGES)
     assert language.page_languages(nothing, tables[0]).count() == 0
