@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from apiquarry.llm.rows import maybe_in
 from apiquarry.session import cut_lineage
 
 PLACES = 1 << 16
@@ -73,10 +74,14 @@ def fit_trigrams(docs: DataFrame, text: str = "text", lang: str = "lang", key: s
     """Learn each language from the ``rows`` ids with the smallest hashes among its documents."""
     known = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{key}`").alias("c_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"))
     known = known.filter("lang is not null and c_id is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("c_id"), "c_id")
-    # every partition cuts its languages to ``rows`` ids before they are shuffled
-    chosen = known.select("lang", "c_id").distinct().withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= rows).drop("nth")
-    sample = known.join(chosen, ["lang", "c_id"]).select("lang", F.col("body").cast("binary").alias("body"))
+    # cut to ``rows`` ids inside salts first, so that a language with most documents is no task of its own
+    ids = known.select("lang", "c_id").distinct().withColumn("order", F.xxhash64("c_id"))
+    for part in (["lang", F.pmod("order", F.lit(SALTS))], ["lang"]):
+        window = Window.partitionBy(*part).orderBy("order", "c_id")
+        ids = ids.withColumn("nth", F.row_number().over(window)).filter(F.col("nth") <= rows).drop("nth")
+    chosen = cut_lineage(ids.select("lang", "c_id"))
+    # texts that are not in the sample are dropped where they are read
+    sample = maybe_in(known, F.col("c_id"), chosen.select("c_id")).join(chosen, ["lang", "c_id"]).select("lang", F.col("body").cast("binary").alias("body"))
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own: dict[str, np.ndarray] = {}
