@@ -28,7 +28,6 @@ with the same text get the same result. Further columns are not looked at.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,8 +49,8 @@ PERCENT = 80
 LISTS, LEAST_SIZE = 3, 4
 #: In lists of more classes, pairs come from an index of the classes' whole sets.
 LONG_LIST = 64
-#: Ratio of the sizes in a band, and further leaders that what is left of a long list meets.
-BAND, LEADERS = 1.007, 8
+#: Further leaders that what is left of a long list meets.
+LEADERS = 8
 #: Word hashes held at once by a task.
 WORD_CACHE = 400_000
 
@@ -233,10 +232,6 @@ def _short_pairs(mixed: DataFrame) -> DataFrame:
     return once.groupBy(*_ordered("a_cid", "cid")).agg(F.count("*").alias("met")).filter(F.col("met") >= LISTS).select("x", "y")
 
 
-def _band(n: Column) -> Column:
-    return F.floor(F.log(n) / math.log(BAND)).cast("int")
-
-
 def _long_pairs(mixed: DataFrame, leaders: DataFrame, sets: DataFrame) -> DataFrame:
     """The same for long lists, by the whole sets of their classes.
 
@@ -244,7 +239,7 @@ def _long_pairs(mixed: DataFrame, leaders: DataFrame, sets: DataFrame) -> DataFr
     Taken are first those that the leader of its longest list lacks, the rarest first: a set that is not
     linked with the leader shares less than ``need`` with it, so for partners of the leader's size or more
     these are all that is looked up, and the family behind the list is not met. ``need`` depends on
-    the other's size, which is therefore part of the key, in bands.
+    the other's size: each shingle carries its place in that order, and the join compares the two.
     """
     classes = mixed.join(leaders, "value").groupBy("cid", "n", "comp").agg(
         F.bool_or(F.col("comp") != F.col("main")).alias("rest"), F.max_by("leader", F.struct("members", "value")).alias("leader")
@@ -255,13 +250,13 @@ def _long_pairs(mixed: DataFrame, leaders: DataFrame, sets: DataFrame) -> DataFr
     rest = index.filter("rest").join(led, ["leader", "s"], "left").join(counts, "s").groupBy("cid", "n", "comp").agg(
         F.array_sort(F.collect_list(F.struct(F.coalesce("led", F.lit(False)).alias("led"), "df", "s"))).alias("order")
     )
-    least = F.ceil(F.col("n") * PERCENT / 100)
-    banded = rest.withColumn("band", F.explode(F.sequence(_band(least) - 1, _band(F.col("n") * 100 / PERCENT) + 1)))
-    low = F.greatest(least, F.floor(F.exp(F.col("band") * math.log(BAND)) - 1e-6))
-    banded = banded.withColumn("take", F.col("n") - _need(F.col("n"), low) + 1).filter("take > 0")
-    asked = banded.select("band", *[F.col(c).alias(f"a_{c}") for c in ("cid", "n", "comp")], F.explode(F.slice("order", 1, F.col("take").cast("int"))).alias("o"))
-    asked = asked.filter("o.df > 1").withColumn("s", F.col("o.s")).drop("o")
-    met = asked.join(index.withColumn("band", _band(F.col("n"))), ["s", "band"]).filter((F.col("a_comp") != F.col("comp")) & _near_in_size(F.col("a_n"), F.col("n")))
+    # the smallest partner asks for most
+    take = F.col("n") - _need(F.col("n"), F.ceil(F.col("n") * PERCENT / 100)) + 1
+    asked = rest.select(*[F.col(c).alias(f"a_{c}") for c in ("cid", "n", "comp")], F.posexplode(F.slice("order", 1, take.cast("int"))).alias("place", "o"))
+    asked = asked.filter("o.df > 1").select("a_cid", "a_n", "a_comp", "place", F.col("o.s").alias("s"))
+    met = asked.join(index, "s").filter(
+        (F.col("a_comp") != F.col("comp")) & _near_in_size(F.col("a_n"), F.col("n")) & (F.col("place") + _need(F.col("a_n"), F.col("n")) <= F.col("a_n"))
+    )
     return met.select(*_ordered("a_cid", "cid")).distinct()
 
 
