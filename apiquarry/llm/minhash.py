@@ -10,8 +10,9 @@ opened. Candidates are filtered by the sketch of the union (its ``k`` smallest v
 bound), and what is left is verified on the whole sets, fetched for these classes only.
 
 Pairs are made in two rounds, so that a family of n copies does not make n² of them. First each
-class meets the leader of each of its lists: the class whose retained values occur most often in
-others, in a family mostly the text the others were made from. Verified links give components, and what
+class meets the leaders of its long lists and those that it shares several lists with: a leader is the
+class whose retained values occur most often in others, in a family mostly the text the others were made
+from. Whom it does not meet now it meets in the second round. Verified links give components, and what
 is left of long lists meets a few more leaders of their largest components.
 Then, in each list, classes outside the largest component meet the classes of other components. The
 classes of long lists meet by an index of their whole sets instead, in which each looks up its
@@ -189,8 +190,14 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return whole.filter(common * 100 >= (F.col("nx") + F.col("ny") - common) * PERCENT).select("x", "y")
 
 
+def _met(pairs: DataFrame, a: str, b: str, also: Column | None = None) -> DataFrame:
+    """Pairs ``x, y`` that meet in ``LISTS`` lists or more, or of which ``also`` holds."""
+    enough = F.count("*") >= LISTS
+    return pairs.groupBy(*_ordered(a, b)).agg((enough if also is None else enough | also).alias("enough")).filter("enough").select("x", "y")
+
+
 def _leaders(lists: DataFrame) -> DataFrame:
-    return lists.groupBy("value").agg(F.max_by("cid", F.struct("shared", F.xxhash64("cid"))).alias("leader"))
+    return lists.groupBy("value").agg(F.max_by("cid", F.struct("shared", F.xxhash64("cid"))).alias("leader"), F.count("*").alias("members"))
 
 
 def _mixed_lists(lists: DataFrame, comps: DataFrame) -> DataFrame:
@@ -228,8 +235,7 @@ def _short_pairs(mixed: DataFrame) -> DataFrame:
     rest = mixed.filter("comp <> main").select("value", *[F.col(c).alias(f"a_{c}") for c in ("cid", "n", "comp")])
     pairs = rest.join(mixed, "value").filter((F.col("a_comp") != F.col("comp")) & _near_in_size(F.col("a_n"), F.col("n")))
     # two classes outside the main component meet once each way
-    once = pairs.filter((F.col("comp") == F.col("main")) | (F.col("a_cid") < F.col("cid")))
-    return once.groupBy(*_ordered("a_cid", "cid")).agg(F.count("*").alias("met")).filter(F.col("met") >= LISTS).select("x", "y")
+    return _met(pairs.filter((F.col("comp") == F.col("main")) | (F.col("a_cid") < F.col("cid"))), "a_cid", "cid")
 
 
 def _long_pairs(mixed: DataFrame, leaders: DataFrame, sets: DataFrame) -> DataFrame:
@@ -241,7 +247,7 @@ def _long_pairs(mixed: DataFrame, leaders: DataFrame, sets: DataFrame) -> DataFr
     these are all that is looked up, and the family behind the list is not met. ``need`` depends on
     the other's size: each shingle carries its place in that order, and the join compares the two.
     """
-    classes = mixed.join(leaders, "value").groupBy("cid", "n", "comp").agg(
+    classes = mixed.join(leaders.select("value", "leader"), "value").groupBy("cid", "n", "comp").agg(
         F.bool_or(F.col("comp") != F.col("main")).alias("rest"), F.max_by("leader", F.struct("members", "value")).alias("leader")
     )
     index = cut_lineage(classes.join(sets, "cid").select("cid", "n", "comp", "rest", "leader", F.explode("shingles").alias("s")))
@@ -267,7 +273,7 @@ def near_components(rows: DataFrame, docs: DataFrame, text: str, key: str, width
     )
     lists = cut_lineage(_prefixes(classes))
     leaders = cut_lineage(_leaders(lists))
-    led = lists.join(leaders, "value").filter("cid <> leader").select(*_ordered("cid", "leader")).distinct()
+    led = _met(lists.join(leaders, "value").filter("cid <> leader"), "cid", "leader", F.max("members") > LONG_LIST)
     first = cut_lineage(_likely(led, classes))
     comps = connected_components(_verified(first, _sets_of(first, classes, docs, text, key, width)))
     mixed = cut_lineage(_mixed_lists(lists, comps))
